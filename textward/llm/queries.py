@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textward.llm import byte_bpe
+from textward.llm import byte_bpe, decontaminate, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,4 +21,29 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe,)}
+#: Bytes of text that a shard may hold.
+SHARD_BYTES = 1 << 20
+
+
+def op4_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.digest(decontaminate.find(docs, items))
+
+
+ORACLE["op4_extendible_shards"] = shards.SQL.format(limit=SHARD_BYTES)
+ORACLE["op5_decontaminate"] = r"""
+WITH iw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dw AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k : k + least(len(w), 10) - 1], ' ') AS g FROM iw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(k) WHERE len(w) > 0),
+occ AS (SELECT doc_id, k, n, item FROM (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS g FROM dw, (SELECT DISTINCT n FROM win), unnest(range(1, len(w) - n + 2)) t(k)) JOIN win USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM occ, unnest(range(k, k + n)) t(p) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op4_extendible_shards, op5_decontaminate)}
