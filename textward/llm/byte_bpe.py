@@ -13,6 +13,7 @@ decodes to empty bytes; an id outside the vocabulary is an error.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,33 +28,37 @@ from pyspark.sql import functions as F
 from textward.llm._shared import ship
 
 #: Distinct words that a worker keeps the ids of, and bytes of new words that go to one DuckDB query.
-KEEP_WORDS = 700_000
-QUERY_BYTES = 1_500_000
-#: A word of more bytes goes to DuckDB by itself, in rounds of a plain query, so that the recursion's rows stay few.
+KEEP_WORDS = 500_000
+QUERY_BYTES = 600_000
+#: Characters of text that a worker splits at a time.
+TEXT_CHARS = 2_000_000
+#: A word of more bytes goes to DuckDB by itself, so many rounds a query that the recursion's rows stay few.
 LONG_WORD = 2000
 
-#: One round: rows (w, pos, id, nxt) and their pairs' ranks; the best pair's right half goes and its neighbours see the new token.
-_STEP = """
-SELECT w, pos, CASE WHEN key = best THEN key >> 24 ELSE id END::INT AS id,
-       CASE WHEN key = best THEN nxt2 WHEN key2 = best THEN best >> 24 ELSE nxt END::INT AS nxt, false AS done
-FROM (SELECT *, min(key) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
-             lag(key) OVER s AS key0, lead(key) OVER s AS key2, lead(nxt) OVER s AS nxt2
-      FROM (SELECT w, pos, id, nxt, (c::BIGINT << 24) + pos AS key FROM {rows} LEFT JOIN merges ON a = id AND b = nxt)
-      WINDOW s AS (PARTITION BY w ORDER BY pos))
-WHERE best IS NOT NULL AND key0 IS DISTINCT FROM best
-"""
+#: Token-position rows: a word, a position, its token, the next position and its token.
 _SEED = """
-SELECT w, k::INT AS pos, x.id, lead(x.id) OVER (PARTITION BY w ORDER BY k)::INT AS nxt
-FROM (SELECT w, k, bytes.id FROM (SELECT w, tok, unnest(range(1, length(tok) + 1)) AS k FROM words WHERE tok NOT IN (SELECT tok FROM vocab)) u
-      JOIN bytes ON bytes.tok = u.tok[k]) x
+WITH one AS MATERIALIZED (
+  SELECT w, k::INT AS pos, bytes.id FROM (SELECT w, tok, unnest(range(1, length(tok) + 1)) AS k FROM words WHERE tok NOT IN (SELECT tok FROM vocab)) u
+  JOIN bytes ON bytes.tok = u.tok[k])
+SELECT a.w, a.pos, a.id, b.pos AS npos, b.id AS nid FROM one a LEFT JOIN one b ON b.w = a.w AND b.pos = a.pos + 1
+"""
+#: The rows after one round: in each word, the leftmost pair of least rank becomes one token. Words without a pair are left out.
+_ROUND = """
+WITH best AS (SELECT w, min({{'c': c, 'pos': pos, 'npos': npos}}) AS m FROM {rows} JOIN merges ON a = id AND b = nid GROUP BY w),
+pair AS (SELECT best.w, m.c AS c, m.pos AS p, m.npos AS np, r.npos AS npos2, r.nid AS nid2 FROM best JOIN {rows} r ON r.w = best.w AND r.pos = m.npos)
+SELECT r.w, r.pos, CASE WHEN r.pos = p THEN c ELSE r.id END AS id,
+       CASE WHEN r.pos = p THEN npos2 ELSE r.npos END AS npos,
+       CASE WHEN r.pos = p THEN nid2 WHEN r.npos = p THEN c ELSE r.nid END AS nid, r.round + 1 AS round
+FROM {rows} r JOIN pair ON r.w = pair.w WHERE r.pos <> np AND r.round < {rounds}
+"""
+#: Round after round until no word has a pair, or so many rounds; then each word's last rows.
+_ENCODE = """
+WITH RECURSIVE bpe AS (SELECT w, pos, id, npos, nid, 0 AS round FROM ({seed}) UNION ALL ({round})),
+last AS (SELECT w, max(round) AS round FROM bpe GROUP BY w)
+SELECT bpe.* FROM bpe JOIN last USING (w, round)
 """
-_ENCODE = f"""
-WITH RECURSIVE bpe AS (
-  SELECT w, pos, id, nxt, 0 AS round FROM ({_SEED})
-  UNION ALL
-  SELECT w, pos, id, nxt, round + 1 FROM (SELECT s.*, (SELECT max(round) FROM bpe) AS round FROM ({_STEP.format(rows="bpe")}) s)
-), last AS (SELECT w, max(round) AS round FROM bpe GROUP BY w)
-SELECT w, list(id ORDER BY pos) AS ids FROM bpe JOIN last USING (w, round) GROUP BY w
+_WORDS = f"""
+SELECT w, list(id) AS ids FROM (SELECT w, id FROM ({_ENCODE.format(seed=_SEED, round=_ROUND.format(rows="bpe", rounds=10**9))}) ORDER BY w, pos) GROUP BY w
 UNION ALL
 SELECT w, [id] FROM words JOIN vocab USING (tok)
 """
@@ -69,7 +74,7 @@ class Coder:
         self.pattern = regex.compile(pattern)
         self.plain = _plain(pattern)
         self.db = db = duckdb.connect()
-        db.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
+        db.execute("SET threads = 1; SET memory_limit = '300MB'; SET preserve_insertion_order = false")
         # a token's bytes are written as the characters of the same numbers, since they need not be UTF-8
         vocab = pa.table({"id": pa.array(ranks.values(), pa.int32()), "tok": [t.decode("latin-1") for t in ranks]})
         db.register("given", vocab)
@@ -104,7 +109,7 @@ class Coder:
 
     def _many(self, batch: list[tuple[str, bytes]]) -> None:
         self.db.register("words", pa.table({"w": pa.array(range(len(batch)), pa.int32()), "tok": [raw.decode("latin-1") for _, raw in batch]}))
-        found = self.db.sql(_ENCODE).to_arrow_table()
+        found = self.db.sql(_WORDS).to_arrow_table()
         ids = found["ids"].combine_chunks()
         starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4", copy=False)
         for w, a, b in zip(found["w"].to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
@@ -113,12 +118,16 @@ class Coder:
     def _one(self, word: str, raw: bytes) -> None:
         db = self.db
         db.register("words", pa.table({"w": pa.array([0], pa.int32()), "tok": [raw.decode("latin-1")]}))
+        rounds = max(1, 3_000_000 // len(raw))
         db.execute(f"CREATE OR REPLACE TEMP TABLE now AS {_SEED}")
         while True:
-            db.execute(f"CREATE OR REPLACE TEMP TABLE nxt AS {_STEP.format(rows='now')}")
-            if not db.execute("SELECT count(*) FROM nxt").fetchall()[0][0]:
+            step = _ENCODE.format(seed="SELECT * FROM now", round=_ROUND.format(rows="bpe", rounds=rounds))
+            db.execute(f"CREATE OR REPLACE TEMP TABLE nxt AS {step}")
+            more = db.execute("SELECT count(*) FROM nxt WHERE round = ?", [rounds]).fetchall()[0][0]
+            db.execute("CREATE OR REPLACE TEMP TABLE now AS SELECT w, pos, id, npos, nid FROM nxt")
+            if not more:
                 break
-            db.execute("CREATE OR REPLACE TEMP TABLE now AS SELECT w, pos, id, nxt FROM nxt")
+        # the whole word may be one token; it then has no rows
         ids = [x for (x,) in db.execute("SELECT id FROM (SELECT pos, id FROM now UNION ALL SELECT 0, id FROM words JOIN vocab USING (tok)) ORDER BY pos").fetchall()]
         self.words[word] = np.asarray(ids, "<i4").tobytes()
 
@@ -138,6 +147,11 @@ class Coder:
         found = self.db.sql("SELECT k, list_aggregate(list_select(toks, list_transform(ids, lambda i: i + 1)), 'string_agg', '') AS s FROM coded, by_id ORDER BY k").to_arrow_table()
         return [(s or "").encode("latin-1") for s in found["s"].to_pylist()]
 
+    def digests(self, ids: pa.Array) -> pa.Array:
+        """SHA-256 of each list's decimal ids, joined by commas."""
+        self.db.register("coded", pa.table({"k": pa.array(range(len(ids)), pa.int32()), "ids": ids}))
+        return self.db.sql("SELECT sha256(array_to_string(ids, ',')) AS s FROM coded ORDER BY k").to_arrow_table()["s"].combine_chunks().cast(pa.string())
+
 
 #: Characters that Python's and the regex module's classes for letters, digits and white space treat alike.
 _ALIKE = re.compile("[\t\n\r -~ ¡£-©«-±´¶-¸»¿-ɏΑ-ΡΣ-ωА-я–—‘-”…€]*").fullmatch
@@ -182,7 +196,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             sizes = pc.utf8_length(texts.fill_null("")).to_numpy(zero_copy_only=False)
-            for a, b in _slices(sizes, 8_000_000):
+            for a, b in _slices(sizes, TEXT_CHARS):
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), coder.encode(texts.slice(a, b - a).to_pylist())], ["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -206,11 +220,16 @@ def decode(coded: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_i
 
 
 def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of what they decode to."""
-    both = decode(encode(docs, ranks_file, pattern), ranks_file, pattern)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, and digests of the ids and of what they decode to: encode() and decode() in one pass, so that the ids stay in the worker."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(ranks_file, pattern)
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            for a, b in _slices(pc.utf8_length(texts.fill_null("")).to_numpy(zero_copy_only=False), TEXT_CHARS):
+                ids = coder.encode(texts.slice(a, b - a).to_pylist())
+                decoded = [hashlib.sha256(x).hexdigest() for x in coder.decode(ids)]
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), ids.value_lengths().cast(pa.int64()), coder.digests(ids), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
