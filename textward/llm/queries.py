@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import byte_bpe, decontaminate, html_text, shards, toxicity
+from textward.llm import byte_bpe, chat, decontaminate, html_text, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +50,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(docs, items))
 
 
+def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(*chat.tool_messages(_table(spark, sf_dir, "conversations")), chat.TOOLS)
+
+
+ORACLE["op10_chat_tools"] = chat.SQL
 ORACLE["op4_extendible_shards"] = shards.SQL.format(limit=SHARD_BYTES)
 ORACLE["op5_decontaminate"] = r"""
 WITH iw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -62,4 +67,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op4_extendible_shards, op5_decontaminate, op7_html_text)}
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op4_extendible_shards, op5_decontaminate, op7_html_text, op10_chat_tools)}
