@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import byte_bpe, chat, decontaminate, html_text, licenses, shards, toxicity
+from textward.llm import byte_bpe, chat, decontaminate, html_text, licenses, repair_ids, shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,6 +55,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(docs, items))
 
 
+def op9_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_ids.read(repair_ids.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(*chat.tool_messages(_table(spark, sf_dir, "conversations")), chat.TOOLS)
 
@@ -72,4 +76,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_extendible_shards, op5_decontaminate, op7_html_text, op10_chat_tools)}
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_extendible_shards, op5_decontaminate, op7_html_text, op9_repair_ids, op10_chat_tools)}
