@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import byte_bpe, chat, decontaminate, html_text, licenses, repair_ids, shards, toxicity
+from textward.llm import byte_bpe, chat, decontaminate, html_text, licenses, repair_ids, shards, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,6 +55,21 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(docs, items))
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op8_shingle_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op9_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_ids.read(repair_ids.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -76,4 +91,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_extendible_shards, op5_decontaminate, op7_html_text, op9_repair_ids, op10_chat_tools)}
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_extendible_shards, op5_decontaminate, op7_html_text, op8_shingle_join, op9_repair_ids, op10_chat_tools)}
