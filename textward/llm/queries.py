@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import byte_bpe, chat, decontaminate, html_text, licenses, repair_ids, shards, shingle_join, toxicity
+from textward.llm import ann, byte_bpe, chat, decontaminate, html_text, licenses, repair_ids, shards, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +38,11 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.per_document(docs, licenses.scan(docs, licenses.learn(docs)))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.Index(vectors).search(ann.queries_of(vectors, 20))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -91,4 +96,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_extendible_shards, op5_decontaminate, op7_html_text, op8_shingle_join, op9_repair_ids, op10_chat_tools)}
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_extendible_shards, op5_decontaminate, op6_nn_descent, op7_html_text, op8_shingle_join, op9_repair_ids, op10_chat_tools)}
