@@ -219,8 +219,8 @@ def decode(coded: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_i
     return coded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
-def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, and digests of the ids and of what they decode to: encode() and decode() in one pass, so that the ids stay in the worker."""
+def round_trip(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of what they decode to (and the ids): encode() and decode() in one pass, so that the ids stay in the worker."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +230,7 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
             for a, b in _slices(pc.utf8_length(texts.fill_null("")).to_numpy(zero_copy_only=False), TEXT_CHARS):
                 ids = coder.encode(texts.slice(a, b - a).to_pylist())
                 decoded = [hashlib.sha256(x).hexdigest() for x in coder.decode(ids)]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), ids.value_lengths().cast(pa.int64()), coder.digests(ids), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [keys.slice(a, b - a), ids.value_lengths().cast(pa.int64()), coder.digests(ids), pa.array(decoded, pa.string())] + [ids] * keep_ids
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
