@@ -35,7 +35,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return licenses.per_document(docs, licenses.scan(docs, licenses.learn(docs)))
+    return licenses.per_document(docs, licenses.learn(docs))
 
 
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
