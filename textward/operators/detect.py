@@ -25,28 +25,39 @@ def typed(text: Column, low: Column, rule: tuple) -> Column:
     return F.transform(find_all(text, pattern), lambda x: F.struct(F.lit(kind).alias("type"), x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), cents.alias("cents")))
 
 
-def _new_spans(found: str, before: str) -> Column:
-    return F.filter(found, lambda x: ~F.exists(before, lambda y: (y["start"] == x["start"]) & (y["end"] == x["end"])))
+def bind(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.transform(F.array(value), f)[0]
 
 
-def detect(df: DataFrame, text_col: str = "text", out: str = "entities") -> DataFrame:
-    """df with an array of entities in the order of the rules.
+def entities_of(text: Column) -> Column:
+    """The array of entities of a text, in the order of the rules.
 
-    A phone is left out where an earlier entity has its very span, and a card where an Aadhaar number starts with it. Names
-    count only where a word of their context occurs. Each step is a column of its own, so that nothing is computed twice.
+    A phone is left out where an entity of an earlier rule has its very span, and a card where an Aadhaar number starts
+    with it. Names count only where a word of their context occurs.
     """
-    text = F.col(text_col)
-    df = df.withColumn("_low", F.lower(text))
-    low = F.col("_low")
-    df = df.withColumns({"_aadhaar": typed(text, low, rules.AADHAAR), "_pan": typed(text, low, rules.PAN), "_email": typed(text, low, rules.EMAIL)})
-    df = df.withColumn("_acc", F.concat("_aadhaar", "_pan", "_email"))
-    for rule in rules.PHONES:
-        df = df.withColumn("_found", typed(text, low, rule))
-        df = df.withColumn("_acc", F.concat("_acc", _new_spans("_found", "_acc")))
-    cards = F.filter("_cards", lambda c: ~F.exists("_aadhaar", lambda a: a["start"] == c["start"]))
-    names = F.filter(typed(text, low, rules.PERSON), lambda x: ~x["value"].isin(*rules.NOT_PERSONS))
-    df = df.withColumns({"_cards": typed(text, low, rules.CARD), "_ssn": typed(text, low, rules.SSN), "_names": F.when(has_any(low, rules.PERSON[4]), names).otherwise(F.array().cast(NONE))})
-    return df.withColumn(out, F.coalesce(F.concat("_acc", "_ssn", cards, "_names"), F.array().cast(NONE))).drop("_low", "_aadhaar", "_pan", "_email", "_acc", "_found", "_cards", "_ssn", "_names")
+
+    def found(low: Column) -> Column:
+        listed = [rules.AADHAAR, rules.PAN, rules.EMAIL, *rules.PHONES, rules.SSN, rules.CARD]
+        parts = [typed(text, low, r) for r in listed]
+        names = F.filter(typed(text, low, rules.PERSON), lambda x: ~x["value"].isin(*rules.NOT_PERSONS))
+        parts.append(F.when(has_any(low, rules.PERSON[4]), names).otherwise(F.array().cast(NONE)))
+        return F.concat(*(F.transform(p, lambda x, k=k: x.withField("rule", F.lit(k))) for k, p in enumerate(parts)))
+
+    def shadowed(x: Column, every: Column) -> Column:
+        phone = F.exists(every, lambda y: (y["rule"] < x["rule"]) & (y["start"] == x["start"]) & (y["end"] == x["end"]))
+        card = F.exists(every, lambda y: (y["type"] == "IN_AADHAAR") & (y["start"] == x["start"]))
+        return F.when(x["type"] == "PHONE", phone).when(x["type"] == "CREDIT_CARD", card).otherwise(F.lit(False))
+
+    kept = lambda every: F.transform(F.filter(every, lambda x: ~shadowed(x, every)), lambda x: x.dropFields("rule"))
+    # most texts hold neither a digit nor an @; names need no digits, so their context is looked for as well
+    some = lambda low: F.rlike(text, F.lit("(?U)[\\d@]")) | has_any(low, rules.PERSON[4])
+    return bind(F.lower(text), lambda low: F.when(some(low), bind(found(low), kept)).otherwise(F.array().cast(NONE)))
+
+
+def detect(df: DataFrame, text_col: str = "text", out: str = "entities") -> DataFrame:
+    """df with an array of entities."""
+    return df.withColumn(out, F.coalesce(entities_of(F.col(text_col)), F.array().cast(NONE)))
 
 
 def quick_scan(text: Column) -> Column:
