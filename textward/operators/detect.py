@@ -30,6 +30,10 @@ def bind(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+def _numbered(entities: Column, rule: int) -> Column:
+    return F.transform(entities, lambda x: x.withField("rule", F.lit(rule)))
+
+
 def entities_of(text: Column) -> Column:
     """The array of entities of a text, in the order of the rules.
 
@@ -42,7 +46,7 @@ def entities_of(text: Column) -> Column:
         parts = [typed(text, low, r) for r in listed]
         names = F.filter(typed(text, low, rules.PERSON), lambda x: ~x["value"].isin(*rules.NOT_PERSONS))
         parts.append(F.when(has_any(low, rules.PERSON[4]), names).otherwise(F.array().cast(NONE)))
-        return F.concat(*(F.transform(p, lambda x, k=k: x.withField("rule", F.lit(k))) for k, p in enumerate(parts)))
+        return F.concat(*(_numbered(p, k) for k, p in enumerate(parts)))
 
     def shadowed(x: Column, every: Column) -> Column:
         phone = F.exists(every, lambda y: (y["rule"] < x["rule"]) & (y["start"] == x["start"]) & (y["end"] == x["end"]))

@@ -61,7 +61,7 @@ query("screen_documents", f"{_X} SELECT action, count(*) AS n_docs, sum(n)::BIGI
 # filters
 
 
-@query("scan_validate_length", "SELECT doc_id, length(text) AS n_points, length(text) BETWEEN 1 AND 10000 AS accepted FROM documents")
+@query("scan_validate_length", "SELECT doc_id, length(text)::INT AS n_points, length(text) BETWEEN 1 AND 10000 AS accepted FROM documents")
 def scan_validate_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_points"), n.between(1, 10000).alias("accepted"))
@@ -493,7 +493,7 @@ def dist_entity_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_samples(spark, sf_dir)).select(F.explode("entities.type").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("metadata_zero_fill", f"{_STRATA}, k AS (SELECT unnest(['easy', 'medium', 'hard', 'adversarial', 'negative', 'dangerous', 'multi']) AS stratum) SELECT stratum, count(z.id) AS n FROM k LEFT JOIN z USING (stratum) GROUP BY stratum")
+@query("metadata_zero_fill", f"{_STRATA}, kinds AS (SELECT unnest(['easy', 'medium', 'hard', 'adversarial', 'negative', 'dangerous', 'multi']) AS stratum) SELECT stratum, count(z.id) AS n FROM kinds LEFT JOIN z USING (stratum) GROUP BY stratum")
 def metadata_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = spark.createDataFrame([(k,) for k in (*g.STRATA, "multi")], "stratum string")
     n = _strata(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("n"))

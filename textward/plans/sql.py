@@ -72,7 +72,7 @@ def spans(rule: tuple, prio: int) -> str:
     kind, pattern, high, base, words = rule
     cents = f"CASE WHEN {has_any(words)} THEN {high} ELSE {base} END" if words and high != base else str(high)
     p = quote(pattern)
-    return f"""SELECT id, {prio} AS prio, i, '{kind}' AS type, substr(text, start + 1, len) AS value, start, start + len AS "end", cents FROM (
+    return f"""SELECT id, {prio} AS prio, i, '{kind}' AS type, substr(text, start + 1, len) AS value, start, (start + len)::INT AS "end", cents FROM (
       SELECT id, text, i, length(f[i]) AS len, (coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f[1:i-1], lambda x: length(x))), 0))::INT AS start, {cents} AS cents
       FROM (SELECT id, text, low, regexp_extract_all(masked, {p}) AS f, string_split_regex(masked, {p}) AS g FROM m), unnest(range(1, len(f) + 1)) t(i))"""
 
