@@ -261,21 +261,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(shared: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(a, b) whose components hold every link, from postings (s, node, n) without repeats; and tables to forget."""
+    """(a, b) whose components hold every link, from postings (s, node, n); and tables to forget. Copies that different tasks met repeat a posting: counts may be too large, which keeps more and loses nothing."""
     made = []
+    some = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    lists_of = lambda df: df.groupBy("s").agg(F.count("*").alias("df"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("s", "df")
     for _ in range(2):
-        lists = shared.groupBy("s").agg(F.count("*").alias("df")).where("df >= 2")
+        lists = lists_of(shared)
         counted = cut(shared.join(lists, "s"), "join-lists")
         need = extra(least_shared(F.col("n")))
         nodes = counted.groupBy("node", "n").agg(F.count("*").alias("c"), F.count_if(F.col("df") > SHORT).alias("h")).where(F.col("c") >= need)
         nodes = cut(nodes.select("node", "h", (F.col("h") >= need).alias("heavy")), "join-nodes")
-        shared = cut(counted.drop("df").join(nodes.select("node"), "node", "left_semi"), "join-shared")
+        shared = cut(counted.drop("df").join(some(nodes.select("node")), "node", "left_semi"), "join-shared")
         made += [counted, nodes, shared]
-    lists = shared.groupBy("s").agg(F.count("*").alias("df"))
-    rows = cut(shared.join(lists.where("df >= 2"), "s").join(nodes, "node"), "join-rows")
+    rows = cut(shared.join(lists_of(shared), "s").join(some(nodes), "node"), "join-rows")
     made.append(rows)
     # a list of at most SHORT nodes
-    few = rows.where(F.col("df") <= SHORT).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("node", "n", "h"))).alias("l")).select("l", F.posexplode("l").alias("i", "x"))
+    few = rows.where(F.col("df") <= SHORT).groupBy("s").agg(F.array_sort(F.collect_set(F.struct("node", "n", "h"))).alias("l")).select("l", F.posexplode("l").alias("i", "x"))
     pairs = few.select("x", F.explode(F.slice("l", F.col("i") + 2, SHORT)).alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
     n, m = F.col("x.n"), F.col("y.n")
     pairs = pairs.where((F.col("c") + F.least("x.h", "y.h") >= F.least(extra(n), extra(m))) & (F.least(n, m) * 4 >= F.greatest(n, m) * 3)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
@@ -291,7 +292,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     members = cut(given.mapInArrow(_nodes, "id long, node long, n long"), "join-members")
     rows = given.mapInArrow(_postings, "k long, s long, node long, n int, multi boolean").repartition("k").sortWithinPartitions("k")
-    shared = cut(rows.mapInArrow(_shared, "s long, node long, n int"), "join-postings").distinct()
+    shared = cut(rows.mapInArrow(_shared, "s long, node long, n int"), "join-postings")
     edges, made = _edges(shared)
     blocks = components(edges)
     for t in made:
