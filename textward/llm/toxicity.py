@@ -209,7 +209,7 @@ def _counted(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(lists, pa.list_(pa.string())), batch.column(1)], ["mark", "words", "toxic"])
 
     # documents that share their least 3-word hash are mostly copies: one of each mark and class counts
-    once = rows.mapInArrow(terms, "mark long, words array<string>, toxic int").groupBy("mark", "toxic").agg(F.min_by("words", F.size("words")).alias("words"))
+    once = rows.mapInArrow(terms, "mark long, words array<string>, toxic int").groupBy("mark", "toxic").agg(F.min(F.struct(F.size("words").alias("n"), "words")).alias("least")).select("least.words", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, stems = (Counter(), Counter()), (Counter(), Counter())
