@@ -35,7 +35,8 @@ from pyspark.sql import Window as W
 from textward.llm._shared import cut, ship
 
 MAGIC = b"RPB1"
-KEEP_WORDS = 400_000
+#: Words, and runs of characters without white space, that a worker keeps the ids of.
+KEEP_WORDS = 250_000
 
 #: The library's split pattern in Python's classes, for texts of characters on which both agree.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
@@ -52,20 +53,37 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.end = np.array([end_id], "<u4").tobytes()
         self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids with the end id, as little-endian unsigned 32-bit integers."""
-        split: list[list[str] | None] = [_PIECES(t.lower()) if _ALIKE(t) else None for t in (t or "" for t in texts)]
-        if len(self.words) > KEEP_WORDS:
-            self.words = {}
-        new = list(set().union(*(s for s in split if s)) - self.words.keys())
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for word, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(e.ids, "<u4").tobytes()
-        get = self.words.__getitem__
+        texts = [t or "" for t in texts]
+        # no match of the pattern goes beyond white space, so runs without it are looked up whole
+        split: list[list[str] | None] = [t.lower().split() if _ALIKE(t) else None for t in texts]
+        if len(self.runs) > KEEP_WORDS or len(self.words) > KEEP_WORDS:
+            self.runs, self.words = {}, {}
+        pieces = {r: _PIECES(r) for r in set().union(*(s for s in split if s)) - self.runs.keys()}
+        self._learn(list(set().union(*pieces.values()) - self.words.keys()))
+        word = self.words.__getitem__
+        self.runs.update((r, b"".join(map(word, p))) for r, p in pieces.items())
+        get = self.runs.__getitem__
         return [(b"".join(map(get, s)) if s is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) + self.end for s, t in zip(split, texts, strict=True)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Words of one kind of character, joined by spaces: each is a piece of its own to the library."""
+        for a in range(0, len(new), 2_000):
+            part = new[a : a + 2_000]
+            e = self.library.encode(" ".join(part), add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else of
+            if len(ends) != len(part):  # the library split a word further
+                self.words.update((w, np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
+                continue
+            b = 0
+            for w, c in zip(part, ends.tolist(), strict=True):
+                self.words[w] = ids[b:c].tobytes()
+                b = c
+
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, per_round: int = 4096) -> bytes:
     """A block of the file format."""
@@ -159,7 +177,7 @@ class Block:
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def write(docs: DataFrame, tokenizer_file: str, end_id: int = 1, block_ids: int = 1 << 20, first: int = 49_408, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write(docs: DataFrame, tokenizer_file: str, end_id: int = 1, block_ids: int = 1 << 19, first: int = 49_408, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table of blocks that was written and read back: part, block, ids array (the documents' keys), n_ids, raw."""
     ship(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
