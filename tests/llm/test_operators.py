@@ -249,3 +249,28 @@ def test_chat_links(spark):
     }
     line = out.where("call_id = 'a'").first().json
     assert line == '{"arguments":{"limit":3,"query":"x"},"conv_id":1,"id":"a","level":0,"name":"search","result":"found","status":"linked","turn":1}'
+
+
+def test_chat_levels_over_all_turns(spark):
+    # a chain of 40 turns, a fork and its join, a chain behind the join, two joins in a row, cycles, and lost references
+    after = {"t0": None, **{f"t{k}": [f"t{k - 1}"] for k in range(1, 40)}, "f1": ["t39"], "f2": ["t3"], "j": ["f1", "f2", None, "f1"], "k1": ["j"], "k2": ["k1"], "jj": ["k2", "j", "t0"], "o": [],
+             "x": ["y"], "y": ["x"], "z": ["y"], "lost": ["gone"], "lost2": ["lost"], "half": ["t1", "gone"], "half2": ["half", "t1"], "zz": ["z", "t1"], "m1": ["m2", "t0"], "m2": ["m1", "t0"]}
+    want: dict = {}
+    while len(want) < len(want := {c: 1 + max((want[r] for r in refs), default=-1) for c, rs in after.items() if (refs := {r for r in rs or () if r}) <= set(want)}):
+        pass
+    calls = spark.createDataFrame(list(after.items()), "call_id string, after array<string>")
+    got = {r.call_id: r.level for r in chat.levels(calls).collect()}
+    assert got == want and want["t39"] == 39 and want["j"] == 41 and want["jj"] == 44 and not {"x", "z", "lost2", "half2", "zz", "m1"} & set(want)
+    assert chat.levels(calls.limit(0)).count() == 0
+
+
+def test_chat_query_orders_as_the_recursive_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    got = spark.read.parquet(f"{sf}/conversations.parquet")
+    got = {r.call_id: r.level for r in chat.link(*chat.tool_messages(got), chat.TOOLS).collect() if r.status != "orphan"}
+    sql = f"""WITH RECURSIVE c AS (SELECT md5('call:' || conv_id || ':' || turn) AS call_id, CASE WHEN turn >= 2 THEN md5('call:' || conv_id || ':' || (turn - 2)) END AS after FROM '{sf}/conversations.parquet' WHERE role = 'user'),
+    l AS (SELECT call_id, 0 AS level FROM c WHERE after IS NULL UNION ALL SELECT c.call_id, level + 1 FROM l JOIN c ON c.after = l.call_id) SELECT call_id, level FROM c LEFT JOIN l USING (call_id)"""
+    want = dict(duckdb.sql(sql).fetchall())
+    assert got == want and max(x or 0 for x in want.values()) > 0

@@ -2,17 +2,18 @@
 
 Calls and results are tables. They are hash-joined by the call's identifier; identical copies are first counted into
 one row by a partial aggregation, so that no identifier gathers its copies in one task. A call may refer to other calls
-("after"). A reference to an earlier turn of the conversation is in order by the turns themselves; those within a turn
-are peeled off in rounds, a round giving each call whose references there all have levels the next level. So
-(conv_id, turn, level, call_id) is a topological order, and the rounds follow the depth of one turn, not the length of a
-conversation. Arguments are parsed once to a variant and
+("after"), in whatever turn or conversation; its level is the length of the longest chain of references below it, so that
+(conv_id, level, turn, call_id) is a topological order. Calls with one reference find the end of their chain by pointer
+doubling: rounds follow the logarithm of the longest chain, and each writes one table. Calls with several references
+are then peeled off in rounds; a round gives those whose references all lead to known levels theirs, so these rounds follow
+how deep such calls lie behind one another, with the chains between them skipped. Arguments are parsed once to a variant and
 checked against the tool's schema. The JSON has no white space, its keys are sorted, and nulls are left out.
 Everything is DataFrame functions.
 
 Defined results (status): linked; no_result for a call without a result; orphan for a result without a call;
 ambiguous for an identifier with different calls or different results (the least of each, by turn and then text, is
-used). A null identifier is never linked. level is null for calls that refer to a later turn, another conversation or a call that
-isn't there, that are in a cycle within a turn, or that refer within the turn to such a call. errors lists, sorted: invalid_json, unknown_tool, missing:FIELD, type:FIELD, range:FIELD. Empty tables
+used). A null identifier is never linked. level is null for calls in a cycle or that lead to one, or to a call that isn't
+there. errors lists, sorted: invalid_json, unknown_tool, missing:FIELD, type:FIELD, range:FIELD. Empty tables
 give no rows; other columns are left out.
 """
 
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm._shared import cut
+from textward.llm._shared import cut, forget
 
 
 @dataclass(frozen=True)
@@ -57,24 +58,44 @@ def _errors(name: Column, args: Column, schemas: Schemas) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) of distinct calls (call_id, conv_id, turn, after); calls without a level are left out."""
-    refs = calls.select("call_id", "conv_id", "turn", F.explode("after").alias("after")).where("after IS NOT NULL").distinct()
-    target = calls.select(F.col("call_id").alias("after"), F.col("conv_id").alias("its_conv"), F.col("turn").alias("its_turn"))
-    seen = refs.join(target, "after", "left")
-    late = ~F.coalesce(F.col("its_conv").eqNullSafe(F.col("conv_id")) & (F.col("its_turn") <= F.col("turn")), F.lit(False))
-    kinds = cut(seen.select("call_id", "after", late.alias("late"), (~late & (F.col("its_turn") == F.col("turn"))).alias("same")).where("late OR same"), "chat-refs")
-    out = calls.select("call_id").join(kinds, "call_id", "left_anti").select("call_id", F.lit(0).alias("level"))
-    now, done, level = kinds.join(kinds.where("late").select("call_id"), "call_id", "left_anti"), out, 0
-    while now.limit(1).count():
-        level += 1
-        # a reference is met once its call has a level; a call is free once no reference of it is unmet
-        marked = now.join(done.select(F.col("call_id").alias("after"), F.lit(True).alias("met")), "after", "left")
-        free = cut(marked.groupBy("call_id").agg(F.every(F.coalesce("met", F.lit(False))).alias("free")).where("free").select("call_id", F.lit(level).alias("level")), "chat-level")
+    """(call_id, level) of distinct calls (call_id, after); calls without a level are left out."""
+    refs = calls.select("call_id", F.array_distinct(F.array_compact(F.coalesce("after", F.array().cast("array<string>")))).alias("refs"))
+    # chains end at calls without a reference or with several (many), or at none that is there (end_id null)
+    single = F.size("refs") == 1
+    refs = cut(refs, "chat-refs")
+    jump = cut(refs.select("call_id", F.when(single, F.col("refs")[0]).otherwise(F.col("call_id")).alias("end_id"), F.when(single, 1).otherwise(0).cast("long").alias("steps"), (~single).alias("ended"), (F.size("refs") > 1).alias("many")), "chat-jump")
+    open_before, still_open = None, jump.where("NOT ended").count()
+    # each round meets the chains up to twice as long and one more; once none is met, the others are cycles
+    while still_open and still_open != open_before:
+        target = jump.select(F.col("call_id").alias("end_id"), F.col("end_id").alias("next_id"), F.col("steps").alias("more"), F.col("ended").alias("its_ended"), F.col("many").alias("its_many"))
+        met = jump.where("NOT ended").drop("ended", "many").join(target, "end_id", "left")
+        met = met.select("call_id", F.col("next_id").alias("end_id"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("its_ended", F.lit(True)).alias("ended"), F.coalesce("its_many", F.lit(False)).alias("many"))
+        longer = cut(jump.where("ended").unionByName(met), "chat-jump")
+        forget(jump)
+        jump, open_before, still_open = longer, still_open, longer.where("NOT ended").count()
+    whole = jump.where("ended AND end_id IS NOT NULL")
+    out = whole.where("NOT many").select("call_id", F.col("steps").cast("int").alias("level"))
+    if not whole.where("many").limit(1).count():
+        return out
+    ends = whole.select(F.col("call_id").alias("after"), "end_id", "steps", F.col("many").alias("behind"))
+    now = refs.where(F.size("refs") > 1).select("call_id", F.explode("refs").alias("after")).join(ends, "after", "left")
+    # level: what a reference gives the call, once the call at the end of its chain is known; a lost reference stays unknown
+    now = cut(now.select("call_id", "end_id", (F.col("steps") + 1).alias("steps"), F.when(~F.col("behind"), F.col("steps") + 1).alias("level")), "chat-many")
+    done = []
+    while True:
+        free = cut(now.groupBy("call_id").agg(F.every(F.col("level").isNotNull()).alias("free"), F.max("level").alias("level")).where("free").select("call_id", "level"), "chat-level")
+        done.append(free)
         if not free.limit(1).count():
             break
-        done = done.unionByName(free)
-        now = cut(now.join(free.select("call_id"), "call_id", "left_anti"), "chat-refs")
-    return done
+        known = free.select(F.col("call_id").alias("end_id"), F.col("level").alias("its_level"))
+        rest = now.join(free.select("call_id"), "call_id", "left_anti").join(known, "end_id", "left")
+        rest = cut(rest.select("call_id", "end_id", "steps", F.coalesce("level", F.col("its_level") + F.col("steps")).alias("level")), "chat-many")
+        forget(now)
+        now = rest
+    # one scan of all rounds' files rather than a union of the rounds
+    levelled = calls.sparkSession.read.schema(done[0].schema).parquet(*(f for d in done for f in d.inputFiles()))
+    behind = whole.where("many").join(levelled.withColumnRenamed("call_id", "end_id"), "end_id")
+    return out.unionByName(behind.select("call_id", (F.col("level") + F.col("steps")).cast("int").alias("level")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -90,7 +111,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     both = cut(both, "chat-linked")
 
     known = both.where("c IS NOT NULL AND call_id IS NOT NULL")
-    order = levels(known.select("call_id", "c.conv_id", "c.turn", "c.after"))
+    order = levels(known.select("call_id", "c.after"))
     same = F.col("c").eqNullSafe(F.coalesce("c2", "c")) & F.col("r").eqNullSafe(F.coalesce("r2", "r"))
     status = F.when(F.col("c").isNull(), "orphan").when(F.col("r").isNull() & same, "no_result").when(~same, "ambiguous").otherwise("linked")
     args = F.try_parse_json(F.col("c.arguments"))
