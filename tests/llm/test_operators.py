@@ -167,6 +167,27 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+_LEFT = "<div class=left><ul>" + "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(12)) + "</ul></div>"
+_LEGAL = "<div class=legal><a href=/i>Imprint</a> <a href=/p>Privacy</a> <a href=/t>Terms</a></div>"
+_PARAS = [f"Paragraph {k} of the article, which is as long as paragraphs are, with <b>some</b> words {k} and then more of them." for k in range(6)]
+_PLAIN = [re.sub("<.*?>", "", x) for x in _PARAS]
+_P = "".join(f"<p>{x}</p>" for x in _PARAS)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><div id=page>{_LEFT}<div class=post>{_P}</div>{_LEGAL}</div></body>", "\n".join(_PLAIN)),
+        (f"<body><div><div><div>{_LEFT}<div><h1>A heading of the article, not a short one at all</h1><div class=text>{_P}</div></div></div>{_LEGAL}</div></div></body>", "\n".join(["A heading of the article, not a short one at all", *_PLAIN])),
+        (f"<body>{_LEFT}<div class=post>{_P}</div><div class=more>{_P}{_P}</div>{_LEGAL}</body>", "\n".join(_PLAIN * 3)),
+        (f"<body><div id=page>{_LEFT}The text begins without a paragraph, in <i>one</i> long line beside the others.<div class=post>{_P}</div>{_LEGAL}</div></body>", "\n".join(["The text begins without a paragraph, in one long line beside the others.", *_PLAIN])),
+        (f"<body><div id=page>{_LEFT}<article><h1>Title</h1><p><b>{_PLAIN[0]} {_PLAIN[1]}</b></p></article>{_LEGAL}</div></body>", f"Title\n{_PLAIN[0]} {_PLAIN[1]}"),
+    ],
+)
+def test_main_text_of_wrapped_and_split_pages(html, text):
+    assert html_text.main_text(html) == text
+
+
 def brute_components(texts):
     sets = []
     for t in texts:

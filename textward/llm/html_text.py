@@ -2,8 +2,10 @@
 
 For every node of a page's tree: its characters, its tags, and those of them within links. A node's density is its
 characters per tag, divided by how much of it is links compared with the page (so menus fall away). The node whose
-children's densities have the largest sum holds the main text; from there up towards the body, a parent takes over
-while its density reaches the least density on the path between that node and the body. Elements that never
+children's densities have the largest sum holds the main text and is kept whole. The least density on the path from it
+to the body is the threshold: from the body down, a subtree whose density is below it is dropped, and of one that reaches it
+the node of largest sum is kept whole and the parts around that node are looked at in the same way. So an article split over several
+subtrees stays whole, and menus and boxes beside it go, however deep all of them are wrapped. Inline content between blocks counts as one child. Elements that never
 hold an article's text (scripts, navigation, footers, asides, forms, adverts, notices, comments; by tag, role, or the
 words of class and id) are left out beforehand.
 
@@ -39,7 +41,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "parent", "parts", "out", "chars", "tags", "link_chars", "link_tags", "density", "block", "total", "best")
 
     def __init__(self, tag: str, parent: Node | None, out: bool):
         self.tag, self.parent, self.out = tag, parent, out
@@ -117,37 +119,78 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def main_node(root: Node) -> Node:
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    c, t, lc, lt = chars, max(tags, 1), link_chars, max(link_tags, 1)
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    return c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0) + 1e-9, max(base, 1.0 + 1e-9) + 1e-9) if c else 0.0
+
+
+def _kids(node: Node) -> list[Node]:
+    return [x for x in node.parts if not isinstance(x, str) and not x.out]
+
+
+def _measure(node: Node, parts: list) -> None:
+    """A node's counts, from its parts, whose own are known."""
+    kids = [x for x in parts if not isinstance(x, str) and not x.out]
+    node.chars = sum(len(" ".join(x.split())) for x in parts if isinstance(x, str)) + sum(x.chars for x in kids)
+    node.tags = sum(x.tags + 1 for x in kids)
+    node.link_chars = node.chars if node.tag == "a" else sum(x.link_chars for x in kids)
+    node.link_tags = sum(x.link_tags + (x.tag == "a") for x in kids)
+
+
+def _units(node: Node) -> Iterator[Node]:
+    """The parts of a node: its blocks, and its runs of inline content, each as a node without a tag."""
+    run: list = []
+    for x in [*node.parts, None]:
+        if x is None or not isinstance(x, str) and not x.out and x.block:
+            if run:
+                unit = Node("", node, False)
+                unit.parts, unit.block, run = run, False, []
+                yield unit
+            if x is not None:
+                yield x
+        else:
+            run.append(x)
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """The subtrees that are kept, in page order."""
     nodes = _walk(root)
     for node in reversed(nodes):
-        kids = [x for x in node.parts if not isinstance(x, str) and not x.out]
-        node.chars = sum(len(" ".join(x.split())) for x in node.parts if isinstance(x, str)) + sum(x.chars for x in kids)
-        node.tags = sum(x.tags + 1 for x in kids)
-        link = node.tag == "a"
-        node.link_chars = node.chars if link else sum(x.link_chars for x in kids)
-        node.link_tags = sum(x.link_tags + (x.tag == "a") for x in kids)
+        _measure(node, node.parts)
+        node.block = node.tag in BLOCKS or any(x.block for x in _kids(node))
     body = next((n for n in nodes if n.tag == "body"), root)
     share = body.link_chars / max(body.chars, 1)
-    for node in nodes:
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, max(node.link_tags, 1)
-        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-        node.density = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0) + 1e-9, max(base, 1.0 + 1e-9) + 1e-9) if c else 0.0
-    inside = [n for n in _walk(body) if n.chars]
-    if not inside:
-        return body
-
-    def total(n: Node) -> float:
-        return sum(x.density for x in n.parts if not isinstance(x, str) and not x.out)
-
-    best = max(inside, key=lambda n: (total(n), n.chars))  # of equal ones the first on the page
-    path, node = [best], best
-    while node is not body and node.parent is not None:
+    for node in reversed(nodes):
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        node.total = 0.0
+        if node.block or node is body:
+            for x in _units(node):
+                if not x.block:
+                    _measure(x, x.parts)
+                    x.density = _density(x.chars, x.tags, x.link_chars, x.link_tags, share)
+                node.total += x.density
+        # the node of largest sum; of equal ones that with more characters, then the first on the page; inline ones stay in their block
+        node.best = max([node, *(x.best for x in _kids(node) if x.block and x.chars)], key=lambda n: (n.total, n.chars))
+    if not body.chars:
+        return [body]
+    least, node = body.best.density, body.best
+    while node is not body:
         node = node.parent
-        path.append(node)
-    least = min(n.density for n in path)
-    while best is not body and best.parent is not None and best.parent is not body and best.parent.density >= least:
-        best = best.parent
-    return best
+        least = min(least, node.density)
+    out, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        if not node.block and node is not body:
+            _measure(node, node.parts)
+            if _density(node.chars, node.tags, node.link_chars, node.link_tags, share) >= least:
+                out.append(node)
+        elif node.density >= least:
+            if node.best is node:
+                out.append(node)
+            else:
+                todo += reversed(list(_units(node)))
+    return out
 
 
 def blocks(node: Node) -> list[str]:
@@ -186,7 +229,7 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    return "\n".join(blocks(main_node(tree.root)))
+    return "\n".join(x for node in main_nodes(tree.root) for x in blocks(node))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
