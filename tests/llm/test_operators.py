@@ -167,6 +167,20 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_neighbour_graph_converges(spark, monkeypatch):
+    # two trees of small leaves: a poor first graph, which two rounds do not mend
+    monkeypatch.setattr(ann, "TREES", 2)
+    monkeypatch.setattr(ann, "LEAF", 16)
+    v = np.random.default_rng(8).standard_normal((2_000, 24))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    s = v @ v.T
+    np.fill_diagonal(s, -9)
+    best = np.argsort(-s, axis=1)[:, :10]
+    graph = {r.id: {x.w for x in r.near} for r in ann.Index(df).graph.collect()}
+    assert sum(len(graph[k] & set(best[k].tolist())) for k in range(2_000)) >= 0.97 * best.size
+
+
 _LEFT = "<div class=left><ul>" + "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(12)) + "</ul></div>"
 _LEGAL = "<div class=legal><a href=/i>Imprint</a> <a href=/p>Privacy</a> <a href=/t>Terms</a></div>"
 _PARAS = [f"Paragraph {k} of the article, which is as long as paragraphs are, with <b>some</b> words {k} and then more of them." for k in range(6)]

@@ -29,8 +29,10 @@ from pyspark.sql import Window as W
 
 from textward.llm._shared import cut, forget, ship
 
-K, S, TREES, LEAF, ROUNDS = 28, 22, 12, 512, 2
-E, EF, MOST_ROUNDS = 40, 200, 12
+K, S, TREES, LEAF = 28, 22, 12, 512
+#: Share of the graph's edges that a round must change for another one to follow.
+CHANGED = 0.001
+E, EF = 40, 200
 QUERY_BLOCK = 20_000
 ENTRIES = 8
 BITS = 24
@@ -122,8 +124,11 @@ class Index:
 
         points = cut(self.nodes.select("id", "v").mapInArrow(added, "id long, x binary"), "ann-points")
         graph = cut(self._forest(points), "ann-graph")
-        for turn in range(ROUNDS):
+        turn, share = 0, 1.0
+        while share >= CHANGED:
             better = cut(self._descend(points, graph, turn), "ann-graph")
+            edges = better.join(graph.select("id", F.col("near.w").alias("old")), "id").agg(F.sum(F.size(F.array_except("near.w", "old"))).alias("new"), F.sum(F.size("near")).alias("n")).first()
+            turn, share = turn + 1, (edges.new or 0) / max(edges.n or 0, 1)
             forget(graph)
             graph = better
         self.graph = graph
@@ -159,7 +164,7 @@ class Index:
             ids, x = t.column(1).to_numpy(), _matrix(t.column(2), np.float16, width).astype(np.float32)
             s = x @ x.T
             s[(tree[:, None] != tree) | (ids[:, None] == ids)] = -9
-            n = min(K // 2, len(ids))
+            n = min(K, len(ids))
             w = np.argpartition(-s, n - 1, axis=1)[:, :n]
             score = np.take_along_axis(s, w, 1)
             ok = score > -9
@@ -187,7 +192,7 @@ class Index:
                 for b in ends.tolist():
                     s = x[a:b] @ x[a:b].T
                     np.fill_diagonal(s, -9)
-                    n = min(6, b - a)
+                    n = min(K, b - a)  # of one pivot's proposals no more can stay
                     w = np.argpartition(-s, n - 1, axis=1)[:, :n]
                     score = np.take_along_axis(s, w, 1)
                     u, c = np.nonzero(score > worst[a:b, None] + 1e-4)
@@ -241,7 +246,7 @@ class Index:
         start = own.join(self.graph, "id").select("query_id", F.explode(F.concat(F.array("id"), F.col("near.w"), F.array(*(F.lit(x) for x in self.entries)))).alias("w")).distinct()
         beam = F.slice(F.sort_array(F.collect_list(F.struct("score", "w")), asc=False), 1, EF)
         state = cut(scored(start).groupBy("query_id").agg(beam.alias("beam")).select("query_id", "beam", F.array().cast("array<long>").alias("done")), "ann-state")
-        for _ in range(MOST_ROUNDS):
+        while True:
             now = state.withColumn("front", F.slice(F.filter(F.col("beam.w"), lambda w: ~F.array_contains("done", w)), 1, E))
             front = now.select("query_id", F.explode("front").alias("id"))
             if not front.limit(1).count():
