@@ -95,6 +95,20 @@ def test_licences(spark):
     assert all(got[k][0] == "" for k in range(n)) and got[2][1] == 0
 
 
+def test_licences_of_short_names_and_unlisted_ones(spark):
+    texts = ["Available under CC BY-SA 4.0.", "x\nSPDX-License-Identifier: GPL-3.0", "Licensed under the BSD 3-Clause License", "Licensed under the Foo license", "Licensed under X", "Licensed under the Eclipse Public License 2.0", "a CC, a by-law\nand 4 0"]
+    texts += ["The river goes to the sea.\nA stone is under a cloud.", "free of the wind\n\nit is to the left", "Licensed under the Foo license"] * 8
+    docs = table(spark, texts)
+    model = licenses.learn(docs)
+    got = {r.doc_id: r.families for r in licenses.per_document(docs, model).collect()}
+    assert [got[k] for k in range(len(texts))] == ["cc", "gpl", "bsd", *[""] * (len(texts) - 3)]
+    every = {" ".join(w[i : i + k]) for ts in licenses.TEMPLATES.values() for t in ts for w in [t.split()] for k in (2, 3) for i in range(len(w) - k + 1)} - licenses.COMMON
+    assert set(model.weights) == every
+    odd = spark.createDataFrame([(t,) for t in (*every, "the the mit--license of\u00e9the mit_license this work is xmit license", "under cc by cc by nc 4 0", "", "\u0130 cc-by")], "t string")
+    rows = odd.select(licenses._found(F.lower("t"), every).alias("a"), licenses.grams(F.lower("t")).alias("b")).collect()
+    assert all(set(r.a) == set(r.b) & every and len(r.a) == len(set(r.a)) for r in rows)
+
+
 def test_shards_fit_and_keep_all_rows(spark):
     texts = [None, "", *("x" * (k % 50) for k in range(300)), "y" * 500]
     rows = shards.assign(table(spark, texts), 200, bits=4).collect()

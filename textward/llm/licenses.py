@@ -1,15 +1,15 @@
 """License scans: a paragraph classifier over word n-grams, trained here, with templates to confirm it.
 
 Training. Each family has short statements (TEMPLATES). Their words, and variants of them (parts, other words around),
-are one side; paragraphs of the documents without any family word, a bounded sample (`sample_rows`), and sentences that only
-sound like licences are the other, the class unknown. Features are the presence of word pairs and triples that occur in
+are one side; the paragraphs of whole sampled documents (`sample_rows` of them, about) that neither name a family nor are confirmed, statements
+of other licences, and sentences that only sound like licences are the other, the class unknown. Features are the presence of word pairs and triples that occur in
 templates; a multinomial logistic regression of pyspark.ml is fitted on two thirds of the rows. On the last third the
 threshold of the probability is set, below which a paragraph is unknown: the lowest at which no unknown row passes.
 
-Scoring. Every n-gram of the features holds one of a few anchors (a greedy choice of long words), so a paragraph without an
-anchor has no feature and is unknown: only paragraphs with one are taken apart. Their n-grams meet the weights, a literal
+Scoring. One expression of all features, words at word borders, tells the texts and paragraphs apart that have any; it also takes
+the features out of them. They meet the weights, a literal
 of a few hundred entries, within the row: a scan shuffles nothing. A family is confirmed if the paragraph holds at
-least half of the features of one of its templates. DataFrame functions and pyspark.ml alone.
+least half of the features of one of its templates, and one that no other family has. DataFrame functions and pyspark.ml alone.
 
 Defined results: a null or empty text has no paragraphs and no families; repeated rows repeat; a paragraph that the
 classifier names and no template confirms is counted as unconfirmed; empty tables give no rows.
@@ -43,6 +43,13 @@ NEAR_MISSES = (
     "permission to build was granted by the city", "the copy of the letter is subject to change", "the apache helicopter was distributed to the forces", "mit students released the general version",
     "creative people are permitted to use the source", "use of the file is described in the terms", "the gnu lives in the open under the sun",
 )
+#: Statements of licences that are none of the families.
+UNLISTED = (
+    "licensed under the eclipse public license version 2 0", "licensed under the isc license", "released under the zlib license", "distributed under the boost software license version 1 0",
+    "released under the unlicense", "licensed under the european union public license", "this work is licensed under the open font license version 1 1", "spdx license identifier isc", "spdx license identifier zlib",
+)
+#: Words that name a family.
+NAMES = frozenset("apache bsd cc creative commons gnu gpl mit mozilla mpl proprietary".split())
 #: Pairs of words that say nothing.
 COMMON = frozenset(("of the", "to any", "is the", "and use", "in source", "use in", "with or", "you can", "work is", "this work", "subject to", "is subject", "it under", "a copy", "of this", "under a", "is a", "by the"))
 UNKNOWN = "unknown"
@@ -69,15 +76,14 @@ class Model:
     weights: dict[str, list[float]]
     intercepts: list[float]
     threshold: float
-    anchors: list[str]
 
 
 def _templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f, k, t) for f, ts in TEMPLATES.items() for k, t in enumerate(ts)], "family string, k int, text string")
 
 
-def training_rows(docs: DataFrame, sample_rows: int) -> DataFrame:
-    """(family, text, part): variants of the templates and at most about sample_rows of the documents' own paragraphs; part 2 is for the threshold."""
+def training_rows(docs: DataFrame, sample_rows: int, vocabulary: list[str]) -> DataFrame:
+    """(family, part, grams): variants of the templates and the paragraphs of about sample_rows documents; part 2 is for the threshold."""
     spark = docs.sparkSession
     t = _templates(spark).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(23))))
     w = F.split("text", " ")
@@ -87,21 +93,23 @@ def training_rows(docs: DataFrame, sample_rows: int) -> DataFrame:
     around = F.array(*(F.lit(x) for x in ("", "the project is", "note", "copyright 2020 the authors", "files in this folder are", "see the file")))
     pick = lambda c: F.element_at(around, (F.pmod(c, F.lit(6)) + 1).cast("int"))
     known = t.select("family", F.concat_ws(" ", pick(F.floor(F.col("v") / 4)), body, pick(F.col("v") * 5 + F.col("k"))).alias("text"), F.pmod(F.xxhash64("text", "v"), F.lit(3)).alias("part"))
-    near = spark.createDataFrame([(x,) for x in NEAR_MISSES], "text string").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(F.lit(UNKNOWN).alias("family"), F.concat_ws(" ", pick(F.col("v")), "text").alias("text"), F.pmod("v", F.lit(3)).cast("long").alias("part"))
-    # a paragraph of each sampled document, none that speaks of licences
+    near = spark.createDataFrame([(x,) for x in (*NEAR_MISSES, *UNLISTED)], "text string").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(F.lit(UNKNOWN).alias("family"), F.concat_ws(" ", pick(F.col("v")), "text").alias("text"), F.pmod("v", F.lit(3)).cast("long").alias("part"))
+    shown = known.unionByName(near).select("family", "part", grams(F.lower("text")).alias("grams"))
+    # all paragraphs of each sampled document but those of a family; equal ones of a document count once
     total = max(docs.count(), 1)
-    own = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(1_000_000)) < int(min(1.0, sample_rows / total) * 1_000_000)).select("doc_id", F.explode(F.split(F.substring_index(F.col("text").cast("string"), "\n", 3), "\n")).alias("text"))
-    own = own.where(~F.lower("text").rlike("licen[sc]e|licensed|permission|redistribut|copyright|proprietary|rights reserved|spdx")).select(F.lit(UNKNOWN).alias("family"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part"))
-    return known.unionByName(near).unionByName(own)
+    own = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(1_000_000)) < int(min(1.0, sample_rows / total) * 1_000_000)).select("doc_id", F.explode(F.split(F.col("text").cast("string"), "\n")).alias("text"))
+    own = own.select("doc_id", F.array_sort(_found(F.lower("text"), vocabulary)).alias("grams")).dropDuplicates(["doc_id", "grams"])
+    named = F.arrays_overlap("grams", F.array(*(F.lit(g) for g in vocabulary if not NAMES.isdisjoint(g.split()))))
+    confirmed = _any(_holds(F.col("grams"), F.array(*(F.lit(g) for g in t)), F.array(*(F.lit(g) for g in only))) for ts in _template_grams(vocabulary).values() for t, only in ts)
+    own = own.where(~named & ~confirmed).select(F.lit(UNKNOWN).alias("family"), F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part"), "grams")
+    return shown.unionByName(own)
 
 
 def learn(docs: DataFrame, sample_rows: int = 2_000) -> Model:
     """Fit the classifier. The driver gets the weights and, for the threshold, the probabilities of the bounded training rows."""
     spark = docs.sparkSession
-    rows = cut(training_rows(docs, sample_rows).select("family", "part", grams(F.lower("text")).alias("grams")), "licence-rows")
     vocabulary = sorted({r.g for r in _templates(spark).select(F.explode(grams(F.lower("text"))).alias("g")).distinct().collect()} - COMMON)
-    anchors = _anchors(vocabulary)
-    vocabulary = [g for g in vocabulary if any(a in g for a in anchors)]
+    rows = cut(training_rows(docs, sample_rows, vocabulary), "licence-rows")
     families = [UNKNOWN, *sorted(TEMPLATES)]
     rows = rows.withColumn("label", F.array_position(F.array(*(F.lit(f) for f in families)), F.col("family")).cast("double") - 1)
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=1.0, binary=True)
@@ -112,30 +120,42 @@ def learn(docs: DataFrame, sample_rows: int = 2_000) -> Model:
     held = fitted.transform(rows.where("part = 2")).select("family", "prediction", "probability").collect()
     high = [max(r.probability[1:]) for r in held if r.family == UNKNOWN]
     threshold = max(0.5, max(high, default=0.0) + 1e-6)
-    return Model(families, weights, [float(x) for x in fitted.interceptVector], threshold, anchors)
-
-
-def _anchors(vocabulary: list[str], most: int = 16, letters: int = 6) -> list[str]:
-    """A greedy choice of words of so many letters, each taken for the n-grams that it is part of; n-grams beyond them are no features."""
-    left, out = set(vocabulary), []
-    words = sorted({w for g in vocabulary for w in g.split() if len(w) >= letters})
-    while left and words and len(out) < most:
-        best = max(words, key=lambda w: sum(w in g for g in left))
-        if not any(best in g for g in left):
-            break
-        out.append(best)
-        left = {g for g in left if best not in g}
-    return out
+    return Model(families, weights, [float(x) for x in fitted.interceptVector], threshold)
+
+
+def _expression(vocabulary, size: int | None = None) -> str:
+    """A regular expression that stands at the first word of any of the n-grams (of so many words) and holds the n-gram in its group."""
+    after: dict[str, list[str]] = {}
+    for g in sorted(vocabulary):
+        first, *more = g.split()
+        if size is None or len(more) == size - 1:
+            after.setdefault(first, []).append("".join(f"[^a-z0-9\\n]++{w}" for w in more))
+    if not after:
+        return "(?!)()"
+    return "(?<![a-z0-9])(?=((?:" + "|".join(f"{w}(?:{'|'.join(ms)})" for w, ms in after.items()) + ")(?![a-z0-9])))"
+
+
+def _found(low: Column, vocabulary) -> Column:
+    """The distinct n-grams of the vocabulary in a lower-case paragraph, as grams() has them."""
+    some = lambda k: F.regexp_extract_all(low, F.lit(_expression(vocabulary, k)), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(some(2), some(3)), lambda x: F.regexp_replace(x, "[^a-z0-9]+", " ")))
+
+
+def _holds(found: Column, template: Column, only: Column) -> Column:
+    """Whether at least half of a template's n-grams are there, and one that is its family's alone."""
+    return (F.size(F.array_intersect(template, found)) * 2 >= F.size(template)) & F.arrays_overlap(only, found)
 
 
 def scan(text: Column, model: Model) -> Column:
     """An array of (paragraph, family, probability, confirmed, text), one for each paragraph that is not unknown."""
     families = F.array(*(F.lit(f) for f in model.families))
-    vocabulary = F.array(*(F.lit(g) for g in model.weights))
+    vocabulary = list(model.weights)
     doubles = lambda xs: F.array(*(F.lit(x) for x in xs))
     weights = F.create_map(*(x for g, w in model.weights.items() for x in (F.lit(g), doubles(w))))
-    templates = F.create_map(*(x for f, ts in _template_grams(model).items() for x in (F.lit(f), F.array(*(F.array(*(F.lit(g) for g in t)) for t in ts)))))
-    known = lambda low: _any(F.contains(low, F.lit(a)) for a in model.anchors)
+    strings = lambda xs: F.array(*(F.lit(x) for x in xs))
+    templates = F.create_map(*(x for f, ts in _template_grams(vocabulary).items() for x in (F.lit(f), F.array(*(F.struct(strings(t).alias("all"), strings(only).alias("only")) for t, only in ts)))))
+    expression = _expression(vocabulary)
+    known = lambda low: low.rlike(expression)
     n = len(model.families)
 
     def score(m: Column) -> Column:
@@ -146,15 +166,15 @@ def scan(text: Column, model: Model) -> Column:
     def judged(x: Column) -> Column:
         best = F.array_max(F.slice(x["p"], 2, n - 1))
         family = F.element_at(families, (F.array_position(F.slice(x["p"], 2, n - 1), best) + 1).cast("int"))
-        close = F.exists(templates[family], lambda t: F.size(F.array_intersect(t, x["m"])) * 2 >= F.size(t))
+        close = F.exists(templates[family], lambda t: _holds(x["m"], t["all"], t["only"]))
         return F.struct(x["paragraph"].alias("paragraph"), family.alias("family"), best.alias("probability"), close.alias("confirmed"), x["text"].alias("text"))
 
     lines = F.transform(F.split(text, "\n"), lambda t, i: F.struct(i.alias("paragraph"), t.alias("text"), F.when(_bind(F.lower(t), known), F.lower(t)).alias("low")))
     lines = F.filter(lines, lambda x: x["low"].isNotNull())
-    lines = F.transform(lines, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["text"].alias("text"), F.array_intersect(grams(x["low"]), vocabulary).alias("m")))
+    lines = F.transform(lines, lambda x: F.struct(x["paragraph"].alias("paragraph"), x["text"].alias("text"), _found(x["low"], vocabulary).alias("m")))
     lines = F.transform(F.filter(lines, lambda x: F.size(x["m"]) > 0), lambda x: F.struct(x["paragraph"].alias("paragraph"), x["text"].alias("text"), x["m"].alias("m"), score(x["m"]).alias("p")))
     found = F.filter(F.transform(lines, judged), lambda x: x["probability"] >= model.threshold)
-    # texts without an anchor are told apart first
+    # texts without a feature are told apart first
     return F.when(_bind(F.lower(text), known), found).otherwise(F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean,text:string>>"))
 
 
@@ -165,13 +185,12 @@ def _any(conditions) -> Column:
     return out
 
 
-def _template_grams(model: Model) -> dict[str, list[list[str]]]:
-    out: dict[str, list[list[str]]] = {}
-    for family, texts in TEMPLATES.items():
-        for text in texts:
-            w = text.split()
-            out.setdefault(family, []).append([g for k in (2, 3) for i in range(len(w) - k + 1) if (g := " ".join(w[i : i + k])) in model.weights])
-    return out
+def _template_grams(vocabulary) -> dict[str, list[tuple[list[str], list[str]]]]:
+    """For each family's templates their n-grams, and those of them that no other family has."""
+    held = set(vocabulary)
+    each = {f: [[g for k in (2, 3) for i in range(len(w) - k + 1) if (g := " ".join(w[i : i + k])) in held] for w in map(str.split, ts)] for f, ts in TEMPLATES.items()}
+    others = {f: {g for o, ts in each.items() if o != f for t in ts for g in t} for f in each}
+    return {f: [(t, [g for g in t if g not in others[f]]) for t in ts] for f, ts in each.items()}
 
 
 def per_document(docs: DataFrame, model: Model) -> DataFrame:
