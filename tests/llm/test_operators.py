@@ -148,6 +148,20 @@ def test_decontamination_equals_search(spark):
     assert decontaminate.find(table(spark, texts), bench.limit(0)).where(F.size("hit_words") > 0).count() == 0
 
 
+def test_decontamination_finds_items_without_an_id(spark):
+    import duckdb
+    from textward.llm import queries
+
+    bench = spark.createDataFrame([(None, "Hidden passage here"), (None, "other one"), (5, "known item"), (6, None)], "item_id long, text string")
+    docs = table(spark, ["a hidden passage, here", "the known item and other one", "hidden passage", None])
+    got = {r.doc_id: r for r in decontaminate.digest(decontaminate.find(docs, bench)).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE benchmark AS SELECT * FROM (VALUES (NULL::BIGINT, 'Hidden passage here'), (NULL, 'other one'), (5, 'known item'), (6, NULL)) t(item_id, text)")
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (0, 'a hidden passage, here'), (1, 'the known item and other one'), (2, 'hidden passage'), (3, NULL)) t(doc_id, text)")
+    want = con.execute(queries.ORACLE["op5_decontaminate"]).fetchall()
+    assert {r[0]: tuple(got[r[0]])[1:] for r in want} == {r[0]: r[1:] for r in want} and [got[k].contaminated for k in range(4)] == [True, True, False, False]
+
+
 def test_neighbours_are_found(spark):
     rng = np.random.default_rng(5)
     v = rng.standard_normal((600, 16))

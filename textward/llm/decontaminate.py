@@ -7,8 +7,8 @@ once; a match's end gives its last word, and so the words that are hit; these ar
 the original text. The automaton goes to each worker once. Items whose texts exceed `CHUNK_BYTES` together are
 taken in several chunks of that size, one scan each, so that an automaton's size is bounded for any benchmark.
 
-Defined results: a null or empty text has no words and no hits; an item that is null or has no words is never
-found; repeated rows each get their own row; an empty benchmark or table gives no hits or no rows.
+Defined results: a null or empty text has no words and no hits; an item whose text is null or has no words is never
+found; items without an id are found as one, a null at the end of item_ids that counts but is no part of the digest; repeated rows each get their own row; an empty benchmark or table gives no hits or no rows.
 """
 
 from __future__ import annotations
@@ -53,9 +53,9 @@ def words(raw: bytes) -> list[bytes]:
     return raw.translate(_FOLD).split()
 
 
-def automaton(items: list[tuple[str, bytes]], width: int) -> ahocorasick.Automaton | None:
+def automaton(items: list[tuple[str | None, bytes]], width: int) -> ahocorasick.Automaton | None:
     """The windows of all items; a window's value is its number of words and the items that have it."""
-    found: dict[bytes, tuple[int, set[str]]] = {}
+    found: dict[bytes, tuple[int, set[str | None]]] = {}
     for item, raw in items:
         w = words(raw)
         n = min(width, len(w))
@@ -110,7 +110,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str =
     ship(spark)
     out = docs.drop(*_SCHEMA.names).withColumns({f.name: F.lit(None).cast(f.dataType) for f in _SCHEMA})
     names, at = out.columns, out.columns.index(text_col)
-    for chunk in _chunks(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("raw")).dropna()):
+    for chunk in _chunks(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("raw")).where("raw IS NOT NULL")):
         sent, mark = spark.sparkContext.broadcast(chunk), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, mark=mark) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str =
                     n, hit, items = scan(auto, raw or b"")
                     if old_hit:
                         hit = sorted({*hit, *old_hit})
-                    for to, value in zip(rows, (n, hit, sorted({*items, *(old_items or ())}), spans(raw or b"", hit)), strict=True):
+                    for to, value in zip(rows, (n, hit, sorted({*items, *(old_items or ())}, key=lambda x: (x is None, x)), spans(raw or b"", hit)), strict=True):
                         to.append(value)
                 kept = {name: batch.column(k) for k, name in enumerate(names)}
                 kept |= {f.name: pa.array(x, f.type) for f, x in zip(_ARROW[:3], rows[:3], strict=True)}
@@ -138,12 +138,12 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str =
     return out
 
 
-def _chunks(items: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+def _chunks(items: DataFrame) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in chunks whose size is bounded, one at a time on the driver; at least one, so that words are counted."""
     size = items.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     n = int(size // CHUNK_BYTES * 2) + 1
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "raw"), F.lit(n)) == k)
         yield [(r.item, bytes(r.raw)) for r in part.collect()]
 
 
