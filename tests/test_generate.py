@@ -45,3 +45,12 @@ def test_typos_keep_short_values_and_edit_others(spark):
 def test_quotas_add_up():
     for n in (0, 1, 7, 999):
         assert sum(g.quotas(n).values()) == n
+
+
+def test_near_misses_of_all_customers(spark):
+    from textward.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    z = catalog.QUERIES["strata_union"](spark, sf).where("stratum = 'dangerous'")
+    customers = spark.read.parquet(f"{sf}/customer.parquet")
+    assert sorted(r.id for r in z.select("id").collect()) == sorted(r.c_custkey for r in customers.select("c_custkey").collect())

@@ -457,7 +457,7 @@ def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     stratum = F.when(~F.col("flagged"), "negative").when(F.col("noise_level") == 0, "easy").when(F.col("noise_level") <= 2, "medium").when(F.col("noise_level") == 3, "hard").otherwise("adversarial")
     a = s.select("id", stratum.alias("stratum"), F.replace("text", F.when(F.col("value") == "", F.lit("\u0000")).otherwise(F.col("value")), F.col("augmented")).alias("text"), "flagged", "entity_type", F.when(F.col("flagged"), F.col("cents")).otherwise(95).alias("cents"))
     kind, text = g.near_miss(F.col("id"))
-    b = table(spark, sf_dir, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("id")).select("id", F.lit("dangerous").alias("stratum"), text.alias("text"), F.lit(False).alias("flagged"), F.lit("NONE").alias("entity_type"), F.lit(90).alias("cents"))
+    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).select("id", F.lit("dangerous").alias("stratum"), text.alias("text"), F.lit(False).alias("flagged"), F.lit("NONE").alias("entity_type"), F.lit(90).alias("cents"))
     return a.unionByName(b)
 
 
