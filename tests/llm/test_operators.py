@@ -276,8 +276,8 @@ def test_id_files_round_trip(spark):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
-    texts = [*ODD, "İSTANBUL ΣΑΣ don't _a_ 12", "the thing " * 500]
+    texts = [*ODD, "İSTANBUL ΣΑΣ don't _a_ 12", "the thing " * 500, "<|endoftext|> x", "a<|STARTOFTEXT|>b <|startoftext|>", "x" * 5000, "ein Wort, zwei\u00a0Wörter—drei"]
+    assert lib.encode("<|endoftext|> x", add_special_tokens=False).ids == [49407, 343]
     blocks = repair_ids.write(table(spark, texts), P.path("word_bpe_49k.json"), block_ids=400)
     got = {r.doc_id: r for r in repair_ids.read(blocks).collect()}
     at, every = 0, []

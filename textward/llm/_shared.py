@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 import textward
@@ -26,10 +31,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or one of our own where that is unset and everything runs in one process."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="textward-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -50,3 +57,30 @@ def forget(df: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(f.rsplit("/", 1)[0])
         if path.getName().startswith("textward-"):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_kept: dict[tuple[str, Hashable], object] = {}
+
+
+def kept(operator: str, key: Hashable, make: Callable[[], object]):
+    """What a worker keeps from task to task: one object. Those of other operators, or of other parameters, go first and their memory goes back to the system."""
+    if (operator, key) not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+        _kept[operator, key] = make()
+    return _kept[operator, key]
+
+
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes add up to about `most`."""
+    begin, total = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
+            yield begin, k
+            begin, total = k, 0
+        total += n
+    if begin < len(sizes):
+        yield begin, len(sizes)

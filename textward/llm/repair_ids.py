@@ -11,8 +11,9 @@ Format, little-endian: b"RPB1"; four u32: rules, symbols, documents, ids; one u3
 (two symbols each); the expansion length of each rule (u32); the symbols; the end of each document (u32, in ids).
 Symbol s < first is the id s; symbol first + k is rule k; first (u32) stands before the rules.
 
-Tokenizing. Words are encoded by the tokenizers library once per worker and kept; texts whose characters might be
-treated otherwise by the library than by this splitting go through the library whole.
+Tokenizing. The distinct words of some megabytes of text are encoded by the tokenizers library, once per worker while
+they are kept, and the texts' ids are gathered from theirs. Texts that hold an added token's content, or characters that
+the library might treat otherwise than this splitting, go through the library whole.
 
 Defined results: a null or empty text is the end id alone; rows of one id stay neighbours, ordered by their texts' hash;
 an empty table is a table without blocks; other columns are left out.
@@ -27,61 +28,100 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from textward.llm._shared import cut, ship
+from textward.llm._shared import cut, kept, ship, slices
 
 MAGIC = b"RPB1"
-#: Words, and runs of characters without white space, that a worker keeps the ids of.
-KEEP_WORDS = 250_000
+#: Words that a worker keeps the ids of, and characters of text that it splits at a time.
+KEEP_WORDS = 500_000
+TEXT_CHARS = 4_000_000
 
-#: The library's split pattern in Python's classes, for texts of characters on which both agree.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+").findall
-_ALIKE = re.compile("[\t\n\r -~ ¡£-©«-±´¶-¸»¿-įĲ-ɏА-я–—‘-”…€]*").fullmatch
+#: The library's split pattern; a line feed goes after each match.
+_PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+_ALIKE = re.compile("[\t\n\r -~\u00a0¡£-©«-±´¶-¸»¿-įĲ-ɏА-я–—‘-”…€]*").fullmatch
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[k] to starts[k] + lengths[k], one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _distinct(column: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct strings, and for each string the place of its own among them."""
+    coded = column.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class Encoder:
     """One worker's tokenizer and the ids of the words that it has met."""
 
     def __init__(self, file: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+        # for words that are split and in lower case already
+        self.of_words = Tokenizer.from_file(file)
+        self.of_words.normalizer = None
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        self.end = end_id
+        self.words: dict[str, bytes] = {"": b""}
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids with the end id, as little-endian unsigned 32-bit integers."""
-        texts = [t or "" for t in texts]
-        # no match of the pattern goes beyond white space, so runs without it are looked up whole
-        split: list[list[str] | None] = [t.lower().split() if _ALIKE(t) else None for t in texts]
-        if len(self.runs) > KEEP_WORDS or len(self.words) > KEEP_WORDS:
-            self.runs, self.words = {}, {}
-        pieces = {r: _PIECES(r) for r in set().union(*(s for s in split if s)) - self.runs.keys()}
-        self._learn(list(set().union(*pieces.values()) - self.words.keys()))
-        word = self.words.__getitem__
-        self.runs.update((r, b"".join(map(word, p))) for r, p in pieces.items())
-        get = self.runs.__getitem__
-        return [(b"".join(map(get, s)) if s is not None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()) + self.end for s, t in zip(split, texts, strict=True)]
+        given = texts.fill_null("").to_pylist()
+        low = pc.utf8_lower(texts.fill_null(""))
+        # the library whole for texts with added tokens, or characters that it may treat otherwise than this splitting
+        plain = np.array([_ALIKE(t) is not None for t in given], bool)
+        for content in self.added:
+            plain &= ~pc.match_substring(low, content).to_numpy(zero_copy_only=False)
+        split = iter(self._plain(low.filter(pa.array(plain))))
+        return [next(split) if ok else np.array([*self.library.encode(t, add_special_tokens=False).ids, self.end], "<u4") for t, ok in zip(given, plain.tolist(), strict=True)]
+
+    def _plain(self, low: pa.Array) -> list[np.ndarray]:
+        if not len(low):
+            return []
+        # no match of the pattern goes beyond white space: distinct runs without it are split to words, and distinct words encoded
+        runs = pc.utf8_split_whitespace(low)
+        kinds, run = _distinct(runs.flatten())
+        mixed = pc.invert(pc.utf8_is_alpha(kinds))
+        pieces = pc.split_pattern(pc.replace_with_mask(kinds, mixed, pc.replace_substring_regex(kinds.filter(mixed), _PIECES, "\\1\n")), "\n")
+        words, word = _distinct(pieces.flatten())
+        words = words.to_pylist()
+        self._learn([w for w in words if w not in self.words])
+        coded = [self.words[w] for w in words]
+        if len(self.words) > KEEP_WORDS:  # those of this batch stay
+            self.words = dict(zip(words, coded, strict=True)) | {"": b""}
+        flat, size = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, sums = flat[_ranges((np.cumsum(size) - size)[word], size[word])], np.concatenate([[0], np.cumsum(size[word])])
+        # of each distinct run: where its ids begin and how many they are
+        at = pieces.offsets.to_numpy() - pieces.offsets[0].as_py() if len(kinds) else np.zeros(1, np.int64)
+        begin, size = sums[at[:-1]], np.diff(sums[at])
+        ids, sums = flat[_ranges(begin[run], size[run])], np.concatenate([[0], np.cumsum(size[run])])
+        ends = sums[runs.offsets.to_numpy() - runs.offsets[0].as_py()][1:]
+        ids = np.insert(ids, ends, self.end).astype("<u4", copy=False)
+        ends = ends + np.arange(1, len(ends) + 1)
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _learn(self, new: list[str]) -> None:
         """Words of one kind of character, joined by spaces: each is a piece of its own to the library."""
-        for a in range(0, len(new), 2_000):
-            part = new[a : a + 2_000]
-            e = self.library.encode(" ".join(part), add_special_tokens=False)
+        for a in range(0, len(new), 500):
+            part = new[a : a + 500]
+            e = self.of_words.encode(" ".join(part), add_special_tokens=False)
             ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
             ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else of
             if len(ends) != len(part):  # the library split a word further
                 self.words.update((w, np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
                 continue
-            b = 0
-            for w, c in zip(part, ends.tolist(), strict=True):
-                self.words[w] = ids[b:c].tobytes()
+            raw, b = ids.tobytes(), 0
+            for w, c in zip(part, (4 * ends).tolist(), strict=True):
+                self.words[w] = raw[b:c]
                 b = c
 
 
@@ -174,9 +214,6 @@ class Block:
         return self.expand(self.symbols[a:b])[start - skipped : stop - skipped]
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
-
-
 def write(docs: DataFrame, tokenizer_file: str, end_id: int = 1, block_ids: int = 1 << 19, first: int = 49_408, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table of blocks that was written and read back: part, block, ids array (the documents' keys), n_ids, raw."""
     ship(docs.sparkSession)
@@ -185,25 +222,23 @@ def write(docs: DataFrame, tokenizer_file: str, end_id: int = 1, block_ids: int
     spread = given.repartitionByRange("id", "h", F.spark_partition_id()).sortWithinPartitions("id", "h").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tokenizer_file, end_id)
-        if key not in _encoders:
-            _encoders[key] = Encoder(*key)
+        encoder = kept("ids", (tokenizer_file, end_id), lambda: Encoder(tokenizer_file, end_id))
         part, block, keys, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def close() -> pa.RecordBatch:
-            raw = compress(np.frombuffer(b"".join(parts), "<u4"), np.cumsum([len(x) // 4 for x in parts]), first)
+            raw = compress(np.concatenate(parts), np.cumsum([len(x) for x in parts]), first)
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([block]), pa.array([keys], pa.list_(pa.int64())), pa.array([size]), pa.array([raw], pa.binary())], ["part", "block", "ids", "n_ids", "raw"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                rows = batch.slice(a, 500)
-                for k, x in zip(rows.column(0).to_pylist(), _encoders[key].encode(rows.column(1).to_pylist()), strict=True):
-                    if keys and size + len(x) // 4 > block_ids:
+            for a, b in slices(pc.utf8_length(batch.column(1).fill_null("")).to_numpy(zero_copy_only=False), TEXT_CHARS):
+                rows = batch.slice(a, b - a)
+                for k, x in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1)), strict=True):
+                    if keys and size + len(x) > block_ids:
                         yield close()
                         block, keys, parts, size = block + 1, [], [], 0
                     keys.append(k)
                     parts.append(x)
-                    size += len(x) // 4
+                    size += len(x)
         if keys:
             yield close()
 
@@ -223,8 +258,9 @@ def read(blocks: DataFrame) -> DataFrame:
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n), pa.array([block] * n), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crc, pa.int64())], ["part", "block", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    # one row for each block: as many as the ids divided by a million
-    before = F.coalesce(F.sum("n_ids").over(W.orderBy("part", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bases = blocks.select("part", "block", "n_ids").withColumn("base", before).drop("n_ids")
+    # ids before a block: those of the parts before, of which there are no more than partitions, and those before it in its part
+    earlier = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", earlier("n", W.orderBy("part")).alias("first"))
+    bases = blocks.select("part", "block", "n_ids").withColumn("within", earlier("n_ids", W.partitionBy("part").orderBy("block"))).join(parts, "part").select("part", "block", (F.col("first") + F.col("within")).alias("base"))
     docs = blocks.mapInArrow(run, "part long, block long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(bases, ["part", "block"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
