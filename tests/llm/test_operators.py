@@ -66,23 +66,41 @@ def test_levenshtein_automaton_equals_edit_distance():
 
 
 def test_quotation_counts_apart():
-    finder = toxicity.Finder(toxicity.Lexicon({"idiot": 1.0}, {}))
-    assert finder.features("he said \"idiot\" in the report")[:3] == [0.0, 0.0, np.log(2)]
-    assert finder.features("you idiot")[0] == np.log(2) and finder.features("you idiot")[3] == np.log(2)
-    assert finder.features(None) == finder.features("") == [0.0] * 5
+    finder = toxicity.Finder(toxicity.Lexicon({"idiot": 1.0}, {}, frozenset({"idiom"})))
+    for t in ('he said "idiot" in the report', "the term 'idiot' was cited", "er schrieb „idiot“ dazu", "a word «idiot» there", 'the word "idiot" and "river"'):
+        assert finder.features(t)[:2] == [0.0, np.log(2)], t
+    for t in ("you idiot", "don't be an idiot, it's you", 'he said "river" idiot "stone" you', "“you” said the idiot, “no”"):
+        assert finder.features(t)[:2] == [np.log(2), 0.0], t
+    assert finder.features("you idiot")[2] == np.log(2) and finder.features("an idiom") == [0.0] * 4
+    assert finder.features("idiiot")[0] == np.log1p(toxicity.MISSPELLED)
+    assert finder.features(None) == finder.features("") == [0.0] * 4
 
 
 def test_toxicity_learns_and_leaves_clean_texts(spark):
     rng = random.Random(1)
     plain = ["river", "stone", "cloud", "paper", "garden", "window", "bridge", "candle", "meadow", "lantern"]
-    texts = [" ".join(rng.choices(plain, k=40)) + (" vile" if k % 4 == 0 else "") for k in range(400)] + [None, ""]
-    docs = table(spark, texts)
-    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    texts = [" ".join(rng.choices(plain, k=40)) + (" wretched" if k % 4 == 0 else "") for k in range(400)] + [None, "", "the wretchd ones and a wrethced river", 'he wrote "wretched" in the report', "wretched " * 20_000]
+    texts += [texts[0]] * 2  # repeated rows of one id
+    docs = table(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") > 404, 404).otherwise(F.col("doc_id")))
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)] + [(None, 1)], "doc_id long, toxic int")
     model = toxicity.learn(docs, labels)
-    assert list(model.lexicon.words) == ["vile"]
-    out = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert list(model.lexicon.words) == ["wretched"] and not model.lexicon.stems
+    rows = toxicity.score(docs, model).collect()
+    out = {r.doc_id: r.score for r in rows}
     assert all((out[k] >= 0.3) == (k % 4 == 0) for k in range(400)) and out[400] < 0.3 and out[401] < 0.3
-    assert toxicity.learn(docs, labels.limit(0)).score([0.0] * 5) < 1e-9
+    # misspelled alone, quoted alone, and a very long one
+    assert out[402] >= 0.3 and out[403] < 0.3 and out[404] >= 0.3
+    assert len(rows) == len(texts) and "node" in rows[0].asDict()
+    assert toxicity.learn(docs, labels.limit(0)).score([0.0] * 4) < 1e-9
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.learn(docs.limit(0), labels).lexicon == toxicity.Lexicon()
+
+
+def test_toxicity_counts_terms_as_by_hand(spark):
+    texts = ["idiot here", "idiot here", "an idiot there", "river here", None, ""]
+    rows = spark.createDataFrame([(t, int("idiot" in (t or ""))) for t in texts], "text string, toxic int")
+    got = {(r.term, r.kind): (r.t0 + r.t1, r.c0 + r.c1) for r in toxicity._counted(rows).collect()}
+    want = {("idiot", "word"): (2, 0), ("here", "word"): (1, 1), ("an", "word"): (1, 0), ("there", "word"): (1, 0), ("river", "word"): (0, 1), ("idio", "stem"): (2, 0), ("ther", "stem"): (1, 0), ("rive", "stem"): (0, 1)}
+    assert got == want
 
 
 def test_licences(spark):

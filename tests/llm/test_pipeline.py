@@ -1,6 +1,7 @@
 """The pipeline on the smallest data, each stage against brute force on its own input."""
 
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from textward.llm import decontaminate, queries
@@ -31,3 +32,24 @@ def test_stages(spark, tmp_path):
         if not any(tuple(w[a : a + n]) in windows for n in {len(x) for x in windows} for a in range(len(w) - n + 1)):
             clean.add(r.doc_id)
     assert ids[3] == clean and ids[4] == clean and P.PATTERN
+
+
+def test_odd_rows(spark, tmp_path):
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, long, "a"), (1, long, "a"), (2, long, "b"), (1, "another text of the same id " + long[::-1], "c"), (3, None, "d"), (4, "", "e"), (4, "", "e"), (None, "no id but these words here", "f"), (5, "x " * 30_000, "g")]
+    # columns that the stages use themselves
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string").withColumns({c: F.lit(k) for k, c in enumerate(("h", "id", "component_id", "hit_text", "toxic", "label"))})
+    for d in (docs, docs.limit(0)):
+        kept = d
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            path = str(tmp_path / f"{d is docs}{k}")
+            stage(spark, kept, SF).write.parquet(path)
+            kept = spark.read.parquet(path)
+            assert kept.columns == docs.columns
+        got = sorted(((r.doc_id, (r.text or "")[:7]) for r in kept.collect()), key=str)
+        out = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+        if d is docs:
+            assert got == sorted([(1, "word0 w"), (1, "another"), (3, ""), (4, ""), (4, ""), (None, "no id b"), (5, "x x x x")], key=str)
+            assert sorted(r.n_tokens > 0 for r in out.collect()) == [False] * 3 + [True] * 4
+        else:
+            assert got == [] and out.count() == 0

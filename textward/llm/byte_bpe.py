@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm._shared import ship
+from textward.llm._shared import kept, ship, slices
 
 #: Distinct words that a worker keeps the ids of, and bytes of new words that go to one DuckDB query.
-KEEP_WORDS = 500_000
+KEEP_WORDS = 300_000
 QUERY_BYTES = 600_000
 #: Characters of text that a worker splits at a time.
 TEXT_CHARS = 2_000_000
@@ -133,9 +133,10 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> pa.Array:
         split = [self.split(t) if t else [] for t in texts]
-        if len(self.words) > KEEP_WORDS:
-            self.words = {"": b""}
-        self.learn([w for w in set().union(*split) if w not in self.words] if split else [])
+        distinct = set().union(*split)
+        if len(self.words) > KEEP_WORDS:  # those of these texts stay
+            self.words = {w: self.words[w] for w in distinct & self.words.keys()}
+        self.learn([w for w in distinct if w not in self.words])
         get = self.words.__getitem__
         parts = [b"".join(map(get, s)) for s in split]
         offsets = np.zeros(len(parts) + 1, np.int64)
@@ -165,25 +166,8 @@ def _plain(pattern: str) -> re.Pattern | None:
     return None if r"\p" in pattern else re.compile(pattern)
 
 
-_coders: dict[tuple[str, str], Coder] = {}
-
-
 def _coder(ranks_file: str, pattern: str) -> Coder:
-    if (ranks_file, pattern) not in _coders:
-        _coders[ranks_file, pattern] = Coder(ranks_file, pattern)
-    return _coders[ranks_file, pattern]
-
-
-def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose sizes add up to about `most`."""
-    begin, total = 0, 0
-    for k, n in enumerate(sizes.tolist()):
-        if total and total + n > most:
-            yield begin, k
-            begin, total = k, 0
-        total += n
-    if begin < len(sizes):
-        yield begin, len(sizes)
+    return kept("bpe", (ranks_file, pattern), lambda: Coder(ranks_file, pattern))
 
 
 def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +180,7 @@ def encode(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_id
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             sizes = pc.utf8_length(texts.fill_null("")).to_numpy(zero_copy_only=False)
-            for a, b in _slices(sizes, TEXT_CHARS):
+            for a, b in slices(sizes, TEXT_CHARS):
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), coder.encode(texts.slice(a, b - a).to_pylist())], ["id", "ids"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -212,7 +196,7 @@ def decode(coded: DataFrame, ranks_file: str, pattern: str, id_col: str = "doc_i
         for batch in batches:
             keys, ids = batch.column(0), batch.column(1)
             lengths = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in _slices(lengths, 1_000_000):
+            for a, b in slices(lengths, 1_000_000):
                 part = ids.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), part, pa.array(coder.decode(part), pa.binary())], ["id", "ids", "decoded"])
 
@@ -227,7 +211,7 @@ def round_trip(docs: DataFrame, ranks_file: str, pattern: str, keep_ids: bool =
         coder = _coder(ranks_file, pattern)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for a, b in _slices(pc.utf8_length(texts.fill_null("")).to_numpy(zero_copy_only=False), TEXT_CHARS):
+            for a, b in slices(pc.utf8_length(texts.fill_null("")).to_numpy(zero_copy_only=False), TEXT_CHARS):
                 ids = coder.encode(texts.slice(a, b - a).to_pylist())
                 decoded = [hashlib.sha256(x).hexdigest() for x in coder.decode(ids)]
                 columns = [keys.slice(a, b - a), ids.value_lengths().cast(pa.int64()), coder.digests(ids), pa.array(decoded, pa.string())] + [ids] * keep_ids

@@ -32,16 +32,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm._shared import cut, forget, ship
+from textward.llm._shared import cut, forget, kept, ship
 from textward.llm.components import components
 
 WIDTH = 5
 SHORT = 8
 #: Shingles of a block, postings that a task combines at a time, rows of a broadcast table, and words that a worker keeps.
-BLOCK = 3_000_000
-COMBINE = 2_000_000
-BROADCAST_ROWS = 1_000_000
-KEEP_WORDS = 400_000
+BLOCK = 1_500_000
+COMBINE = 1_000_000
+BROADCAST_ROWS = 300_000
+KEEP_WORDS = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -93,20 +93,20 @@ def extra(n):
     return F.floor(n / 10) + 1 if isinstance(n, Column) else n // 10 + 1
 
 
-_NODES = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_NODES = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
 _ROWS = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("multi", pa.bool_())])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles = Shingler()
+    shingles = kept("shingles", None, Shingler)
     for batch in batches:
         sets = [shingles(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], schema=_NODES)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], schema=_NODES)
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of prefixes. A row with s null stands for its shingle k in the shuffle, multi if this task has others of it; those others have s and need no meeting."""
-    shingles, seen = Shingler(), set()
+    shingles, seen = kept("shingles", None, Shingler), set()
     parts, nodes, sizes, total = [], [], [], 0
 
     def close() -> pa.RecordBatch:
@@ -250,14 +250,14 @@ def _solve(table: pa.Table) -> pa.Table:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of documents that stand for nodes of blocks; a row of the same id with another text is left out."""
-    shingles = Shingler()
+    shingles = kept("shingles", None, Shingler)
     for batch in batches:
         for a in range(0, batch.num_rows, 1000):
             part = batch.slice(a, 1000)
             sets = [shingles(t) for t in part.column(0).cast(pa.binary()).to_pylist()]
             mine = pa.array([bool(len(s)) and node_of(s) == k for s, k in zip(sets, part.column(1).to_pylist(), strict=True)])
-            kept = part.filter(mine)
-            yield pa.RecordBatch.from_arrays([kept.column(1), kept.column(2), kept.column(3), pa.array([s.tobytes() for s, m in zip(sets, mine.to_pylist(), strict=True) if m], pa.binary())], ["node", "root", "g", "raw"])
+            own = part.filter(mine)
+            yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), own.column(3), pa.array([s.tobytes() for s, m in zip(sets, mine.to_pylist(), strict=True) if m], pa.binary())], ["node", "root", "g", "raw"])
 
 
 def _edges(shared: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -287,10 +287,20 @@ def _edges(shared: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id_col, n_shingles, component_id) per document; component_id is the least id that links lead to."""
+    return classes(docs, id_col, text_col).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def text_hash(text_col: str) -> Column:
+    """What tells the rows of one id apart in classes()."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (id, h, n_shingles, component_id, root) per document: h is its text's hash; root tells components apart that have the same least id, and is null for an empty set."""
     spark = docs.sparkSession
     ship(spark)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    members = cut(given.mapInArrow(_nodes, "id long, node long, n long"), "join-members")
+    members = cut(given.withColumn("h", text_hash("text")).mapInArrow(_nodes, "id long, h long, node long, n long"), "join-members")
     rows = given.mapInArrow(_postings, "k long, s long, node long, n int, multi boolean").repartition("k").sortWithinPartitions("k")
     shared = cut(rows.mapInArrow(_shared, "s long, node long, n int"), "join-postings")
     edges, made = _edges(shared)
@@ -317,6 +327,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     classes = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_node = classes.join(least, "root").select("node", "component_id")
+    of_node = classes.join(least, "root").select("node", "component_id", "root")
     out = members.join(of_node, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "root")

@@ -2,19 +2,22 @@
 
 Learning. From a bounded sample of labelled rows (`sample_rows`; chosen by hash, copies and near copies counted once)
 Spark counts, for each word and each stem (a word's first 4 to 7 letters), the toxic and the clean documents that hold
-it. Terms whose share of toxic documents is surely high make the lexicon, a trie whose entries are words or stems.
+it, in two halves. Terms whose share of toxic documents is surely high, and not low in either half, make the lexicon, a
+trie whose entries are words or stems; a stem must also begin two lexicon words. Words near a term that clean documents of the sample use are no misspellings.
 
 Finding. A word's Levenshtein automaton runs down the trie: the automaton's state is the row of edit distances kept
 to those within the bound, and a branch ends where no state is left. A word of 5 letters or more may differ by one
 edit, one of 9 or more by two; stems are matched as they are. A worker keeps the distinct words it has met.
 
 Scoring. Each hit looks at a window of words around it: quotation marks that enclose it, words of reporting, and words
-that address somebody. A logistic model of the counts of exact, misspelled, quoted and addressed hits is fitted on the
-sample's rows; its output is the score.
-
-Defined results: a null or empty text has no hits and takes the model's lowest score; if there are no labels, or
-only one class, the lexicon is empty and every score is the prior (0 without labels); repeated rows repeat; other columns
-stay as they are.
+that address somebody. A hit that is quoted, and reported or said to nobody, counts as quoted; others count as abuse, by their
+term's share of toxic documents, a misspelled one as MISSPELLED of that for each edit. A logistic model of the counts of abuse, quoted and addressed hits is fitted on the
+sample's rows, and on copies of its toxic rows in which the hits are misspelled (toxic) or quoted (clean), since the sample may hold few of
+either; its output is the score.
+
+Defined results: a null or empty text has no hits and takes the score of texts without hits; if there are no labels, or
+only one class, the lexicon is empty and every score is the prior (0 without labels); a labelled id with several rows gives each of them its
+label; repeated rows repeat; other columns stay as they are, but for one named score.
 """
 
 from __future__ import annotations
@@ -31,23 +34,28 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textward.llm._shared import cut, ship
+from textward.llm._shared import cut, kept, ship
 
 WORD = re.compile(r"[^\W_]+")
 STEMS = range(4, 8)
 WINDOW = 6
-#: Words of reporting and of address; fixed values.
-REPORTS = frozenset("said says quote quoted quotes wrote writes reported reports called according cited term word phrase comment".split())
-ADDRESS = frozenset("you your youre u ur are".split())
-OPEN, CLOSE = "\"“«‘„'", "\"”»’“'"
+#: Weight of a misspelled hit for each edit, against an exact one.
+MISSPELLED = 0.9
+#: Words of reporting and of address in the languages of the documents; fixed values.
+REPORTS = frozenset("said says quote quoted quotes wrote writes reported reports called according cited term word phrase comment sagte schrieb zitat zitiert wort laut dit écrit cité citation mot selon dijo escribió citó cita palabra según".split())
+ADDRESS = frozenset("you your youre u ur are du dich dir dein deine ihr euch bist seid tu te toi ton ta vous votre es êtes tú ti usted ustedes eres".split())
+#: Quotation marks that open and close; straight ones do both.
+OPEN, CLOSE = "“«‘„", "”»’“"
 
 
 @dataclass
 class Lexicon:
-    """Terms as a trie: nested dictionaries by character; key "" holds the kinds of entry that end there."""
+    """Terms and their weights, as a trie: nested dictionaries by character; key "" holds the kinds of entry that end there."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
+    #: words near a term that are no misspellings of it
+    innocent: frozenset[str] = frozenset()
 
     def trie(self) -> dict:
         root: dict = {}
@@ -108,10 +116,10 @@ def _step(state: tuple, word: str, c: str, most: int) -> tuple | None:
 class Finder:
     """One worker's lexicon, the words that it has met, and what they matched."""
 
-    KEEP = 400_000
+    KEEP = 200_000
 
     def __init__(self, lexicon: Lexicon):
-        self.trie = lexicon.trie()
+        self.trie, self.innocent, self.words, self.stems = lexicon.trie(), lexicon.innocent, lexicon.words, lexicon.stems
         self.met: set[str] = set()
         self.hits: dict[str, tuple[str, str, int]] = {}
         # a word within k edits of a term holds one of the term's k + 1 parts as it is; words without any part are not tried
@@ -133,20 +141,20 @@ class Finder:
         if len(self.met) > self.KEEP:
             self.met, self.hits = set(), {}
         for word in words - self.met:
-            if self.maybe(word) and (m := match(self.trie, word)):
+            if self.maybe(word) and word not in self.innocent and (m := match(self.trie, word)):
                 self.hits[word] = m
         self.met |= words
         return words & self.hits.keys()
 
     def features(self, text: str | None) -> list[float]:
-        """Exact, misspelled, quoted and addressed hits, as log(1 + count), and the share of words that are hits."""
+        """Abuse, quoted and addressed hits, as log(1 + count), and the share of words that are abuse."""
         low = (text or "").lower()
         words = WORD.findall(low)
         bad = self.look(set(words)) if words else ()
         if not bad:
-            return [0.0] * 5
+            return [0.0] * 4
         spans = [m.span() for m in WORD.finditer(low)]
-        exact = fuzzy = quoted = addressed = 0
+        abuse, quoted, addressed = 0.0, 0, 0
         for k, word in enumerate(words):
             if word not in bad:
                 continue
@@ -154,21 +162,33 @@ class Finder:
             to_somebody, reported = not ADDRESS.isdisjoint(around), not REPORTS.isdisjoint(around)
             if _enclosed(low, spans, k) and (reported or not to_somebody):
                 quoted += 1
-                continue
-            addressed += to_somebody
-            if self.hits[word][2]:
-                fuzzy += 1
             else:
-                exact += 1
-        return [math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(addressed), (exact + fuzzy) / len(words)]
+                addressed += to_somebody
+                kind, term, k = self.hits[word]
+                abuse += (self.words if kind == "word" else self.stems)[term] * MISSPELLED**k
+        return [math.log1p(abuse), math.log1p(quoted), math.log1p(addressed), abuse / len(words)]
+
+    def variants(self, text: str) -> tuple[str, str] | None:
+        """The text with its hits misspelled, and with its hits quoted; None without hits."""
+        low = text.lower()
+        bad = self.look(set(WORD.findall(low)))
+        if not bad:
+            return None
+        drop = lambda w: w[:2] + w[3:] if edits(len(w) - 1) else w
+        return tuple(WORD.sub(lambda m: to(m[0]) if m[0] in bad else m[0], low) for to in (drop, lambda w: f'the word "{w}"'))
 
 
 def _enclosed(text: str, spans: list[tuple[int, int]], k: int) -> bool:
     """Whether a quotation mark opens before word k, within the window, and closes after it."""
     a, b = spans[k]
-    before = text[spans[max(0, k - WINDOW)][0] - (k > 0 and spans[max(0, k - WINDOW)][0] > 0) : a]
+    before = text[spans[max(0, k - WINDOW)][0] - (spans[max(0, k - WINDOW)][0] > 0) : a]
     after = text[b : spans[min(len(spans) - 1, k + WINDOW)][1] + 1]
-    return any(c in before and d in after for c, d in zip(OPEN, CLOSE, strict=True))
+    if before.count('"') % 2 and '"' in after:
+        return True
+    # an apostrophe between letters is none
+    if re.search(r"(?<![^\W_])'", before) and re.search(r"'(?![^\W_])", after):
+        return True
+    return any(before.rfind(c) > before.rfind(d) and d in after for c, d in zip(OPEN, CLOSE, strict=True))
 
 
 def crc_fold(key: Column) -> Column:
@@ -196,7 +216,7 @@ def sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """(term, kind, toxic documents, clean documents) of the sample, copies and near copies counted once."""
+    """(term, kind, t0, t1, c0, c1): toxic and clean documents of the sample in two halves, copies and near copies counted once."""
     ship(rows.sparkSession)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,22 +228,24 @@ def _counted(rows: DataFrame) -> DataFrame:
                 lists.append(sorted(set(words)))
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(lists, pa.list_(pa.string())), batch.column(1)], ["mark", "words", "toxic"])
 
-    # documents that share their least 3-word hash are mostly copies: one of each mark and class counts
-    once = rows.mapInArrow(terms, "mark long, words array<string>, toxic int").groupBy("mark", "toxic").agg(F.min(F.struct(F.size("words").alias("n"), "words")).alias("least")).select("least.words", "toxic")
+    # documents that share their least 3-word hash are mostly copies: one of each mark and class counts; the mark also deals the halves
+    once = rows.mapInArrow(terms, "mark long, words array<string>, toxic int").groupBy("mark", "toxic").agg(F.min(F.struct(F.size("words").alias("n"), "words")).alias("least"))
+    once = once.select("least.words", (F.col("toxic") * 2 + F.pmod(F.xxhash64("mark"), F.lit(2))).cast("int").alias("cell"))
+    names = ["c0", "c1", "t0", "t1"]  # by cell
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, stems = (Counter(), Counter()), (Counter(), Counter())
+        words, stems = tuple(Counter() for _ in names), tuple(Counter() for _ in names)
         for batch in batches:
-            for of, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words[toxic].update(of)
-                stems[toxic].update({w[:n] for w in of for n in STEMS if len(w) > n})
-        for kind, (clean, toxic) in (("word", words), ("stem", stems)):
-            keys = [*toxic, *(k for k in clean if k not in toxic)]
+            for of, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words[cell].update(of)
+                stems[cell].update({w[:n] for w in of for n in STEMS if len(w) > n})
+        for kind, cells in (("word", words), ("stem", stems)):
+            keys = list(set().union(*cells))
             for a in range(0, len(keys), 100_000):
                 part = keys[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([kind] * len(part)), pa.array([toxic[k] for k in part], pa.int64()), pa.array([clean[k] for k in part], pa.int64())], ["term", "kind", "t", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([kind] * len(part)), *(pa.array([c[k] for k in part], pa.int64()) for c in cells)], ["term", "kind", *names])
 
-    return once.select("words", "toxic").mapInArrow(count, "term string, kind string, t long, c long").groupBy("term", "kind").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    return once.mapInArrow(count, "term string, kind string, " + ", ".join(f"{n} long" for n in names)).groupBy("term", "kind").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least: int = 4, most_terms: int = 4_000) -> Model:
@@ -231,35 +253,54 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least:
     rows = cut(sample(docs, labels, sample_rows), "toxic-sample")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
-        return Model(Lexicon(), [30.0 if n.get(1) else -30.0, 0, 0, 0, 0, 0])
-    # the lower end of the toxic documents' share, with a pseudo-document against each term
+        return Model(Lexicon(), [30.0 if n.get(1) else -30.0, 0, 0, 0, 0])
+    counts = cut(_counted(rows).withColumns({"t": F.col("t0") + F.col("t1"), "c": F.col("c0") + F.col("c1")}), "toxic-terms")
+    # the lower end of the toxic documents' share, with a pseudo-document against each term; and the share in either half
     share = (F.col("t") - F.sqrt(F.col("t"))) / (F.col("t") + F.col("c") + 1)
-    good = _counted(rows).where((F.col("t") >= least) & (share >= 0.4)).orderBy(F.desc(share), "kind", "term").limit(most_terms).collect()
-    words = {r.term: float(r.t) for r in good if r.kind == "word"}
+    half = lambda k: F.col(f"t{k}") / (F.col(f"t{k}") + F.col(f"c{k}") + 1) >= 0.25
+    good = counts.where((F.col("t") >= least) & (share >= 0.4)).withColumn("share", share).withColumn("both", half(0) & half(1)).orderBy(F.desc(share), "kind", "term").limit(most_terms).collect()
+    words = {r.term: r.share for r in good if r.kind == "word"}
+    begun = Counter(w[:k] for w in words for k in STEMS if len(w) >= k)
     stems: dict[str, float] = {}
     for r in sorted((r for r in good if r.kind == "stem"), key=lambda r: (len(r.term), r.term)):
-        inside = sum(r.term == w[: len(r.term)] for w in words)
-        if r.t >= 3 * least and inside >= 2 and not any(r.term.startswith(s) for s in stems):
-            stems[r.term] = float(r.t)
-    words = {w: t for w, t in words.items() if t >= 2 * least and not any(w.startswith(s) for s in stems)}
+        if r.both and r.t >= 3 * least and begun[r.term] >= 2 and not any(r.term.startswith(s) for s in stems):
+            stems[r.term] = r.share
+    sure = {r.term for r in good if r.both and r.t >= 2 * least}
+    words = {w: share for w, share in words.items() if w in sure and not any(w.startswith(s) for s in stems)}
     lexicon = Lexicon(words, stems)
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(lexicon)
+        for batch in batches:
+            found = [w for w in batch.column(0).to_pylist() if finder.look({w}) and finder.hits[w][2]]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["term"])
+
+    # words within the bound of a term that clean documents use as often as toxic ones: at most a few for each term
+    common = counts.where((F.col("kind") == "word") & (F.col("c") > 0) & (F.col("c") >= F.col("t"))).select("term")
+    lexicon = Lexicon(words, stems, frozenset(r.term for r in common.mapInArrow(near, "term string").collect()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(lexicon)
         for batch in batches:
-            x = [finder.features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
+            x, y, w = [], [], []
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(finder.features(text), toxic, 2)]
+                if toxic and (v := finder.variants(text or "")):
+                    rows += [(finder.features(v[0]), 1, 1), (finder.features(v[1]), 0, 1)]
+                for to, values in zip((x, y, w), zip(*rows, strict=True), strict=True):
+                    to += values
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(w, pa.int64())], ["x", "toxic", "n"])
 
-    # rows with the same features are one row with a count; there are at most about sample_rows
-    seen = rows.mapInArrow(run, "x array<double>, toxic int").groupBy("x", "toxic").agg(F.count("*").alias("n")).collect()
-    return Model(lexicon, _fit(np.array([r.x for r in seen]), np.array([r.toxic for r in seen], float), np.array([r.n for r in seen], float)))
+    # rows with the same features are one row with a count; there are at most about three times sample_rows
+    seen = rows.mapInArrow(run, "x array<double>, toxic int, n long").groupBy("x", "toxic").agg(F.sum("n").alias("n")).collect()
+    return Model(lexicon, _fit(np.array([r.x for r in seen]), np.array([r.toxic for r in seen], float), np.array([r.n for r in seen], float) / 2))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[float]:
-    """Newton steps of a ridge-penalised logistic regression, the intercept unpenalised. Quoted hits start from a smaller effect than plain ones."""
+    """Newton steps of a ridge-penalised logistic regression, the intercept unpenalised."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    prior = np.array([0.0, 2.0, 1.0, 0.3, 0.3, 0.0])
-    w, ridge = prior.copy(), np.diag([1e-6, 0.5, 0.5, 0.5, 0.5, 0.5])
+    prior = np.array([0.0, 2.0, 0.0, 0.3, 0.0])
+    w, ridge = prior.copy(), np.diag([1e-6, 0.5, 0.5, 0.5, 0.5])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (n * (p - y)) + ridge @ (w - prior))
@@ -269,20 +310,14 @@ def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> list[float]:
     return w.tolist()
 
 
-_finders: dict[str, Finder] = {}
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with a column score in place of any of that name."""
     ship(docs.sparkSession)
     given = docs.drop("score").withColumn("score", F.lit(0.0))
-    at, names, mark = given.columns.index(text_col), given.columns, repr((sorted(model.lexicon.words.items()), sorted(model.lexicon.stems.items())))
+    at, names, mark = given.columns.index(text_col), given.columns, repr((sorted(model.lexicon.words.items()), sorted(model.lexicon.stems.items()), sorted(model.lexicon.innocent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _finders:
-            _finders.clear()
-            _finders[mark] = Finder(model.lexicon)
-        finder, zero = _finders[mark], model.score([0.0] * 5)
+        finder, zero = kept("toxicity", mark, lambda: Finder(model.lexicon)), model.score([0.0] * 4)
         for batch in batches:
             got = [model.score(x) if any(x := finder.features(t)) else zero for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.float64())], names)
