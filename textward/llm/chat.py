@@ -134,35 +134,55 @@ TOOLS: Schemas = {
 
 
 def tool_messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results made of plain conversations: a user's turn is a call on its text, and the assistant's next turn its result. The call's tool follows from its place, and it comes after the user's turn before it."""
-    id_of = lambda turn: F.md5(F.concat_ws(":", F.lit("call"), "conv_id", turn).cast("binary"))
+    """Calls and results made of plain conversations, which hold none.
+
+    A user's turn makes one to three calls. The first is on its text and comes after the first call of the user's turn before it; the second comes
+    after the first, the third after both. In every thirteenth conversation the second also waits for the third, which is a cycle. The assistant's
+    next turn answers the first two calls. Tools follow from the place.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = F.size(F.split(text, " ")).cast("long")
-    tool = F.element_at(F.array(*(F.lit(x) for x in ("search", "lookup", "count", "translate"))), (F.pmod(F.floor(F.col("turn") / 2) + F.col("conv_id"), F.lit(4)) + 1).cast("int"))
-    # F.to_json of a struct writes valid JSON; every eleventh call is cut short and so is none
-    args = F.to_json(F.struct(words.alias("limit"), text.alias("query")))
-    args = F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(11)) == 0, F.expr("substr('{\"query\":', 1, 9)")).otherwise(args)
-    users = conversations.where("role = 'user'")
-    calls = users.select("conv_id", "turn", id_of(F.col("turn")).alias("call_id"), tool.alias("name"), args.alias("arguments"), F.when(F.col("turn") >= 2, F.array(id_of(F.col("turn") - 2))).alias("after"))
-    results = conversations.where("role = 'assistant'").select("conv_id", "turn", id_of(F.col("turn") - 1).alias("call_id"), text.alias("content"))
+    id_of = lambda turn, k: F.md5(F.concat_ws(":", F.lit("call"), "conv_id", turn, k.cast("string")).cast("binary"))
+    place = lambda turn, more, of: F.pmod(F.floor(turn / 2) + F.col("conv_id") + more, F.lit(of))
+    calls_of = lambda turn: F.sequence(F.lit(0), place(turn, 0, 3).cast("int"))
+    turn, k = F.col("turn"), F.col("k")
+    users = conversations.where("role = 'user'").select("conv_id", "turn", text.alias("text"), F.explode(calls_of(turn)).alias("k"))
+    tool = F.element_at(F.array(*(F.lit(x) for x in ("search", "lookup", "count", "translate"))), (place(turn, k, 4) + 1).cast("int"))
+    # to_json of a struct writes valid JSON; every eleventh call is cut short and so is none
+    args = F.to_json(F.struct((F.size(F.split("text", " ")) + k).cast("long").alias("limit"), F.when(k == 0, F.col("text")).otherwise(F.md5(F.col("text").cast("binary"))).alias("query")))
+    args = F.when(F.pmod(F.col("conv_id") + turn + k, F.lit(11)) == 0, F.lit('{"query":')).otherwise(args)
+    own = lambda j: id_of(turn, F.lit(j))
+    cycle = (F.pmod("conv_id", F.lit(13)) == 0) & (place(turn, 0, 3) == 2)
+    after = F.when(k == 2, F.array(own(0), own(1))).when(k == 1, F.when(cycle, F.array(own(0), own(2))).otherwise(F.array(own(0)))).when(turn >= 2, F.array(id_of(turn - 2, F.lit(0))))
+    calls = users.select("conv_id", "turn", id_of(turn, k).alias("call_id"), tool.alias("name"), args.alias("arguments"), after.alias("after"))
+    answers = conversations.where("role = 'assistant'").select("conv_id", "turn", text.alias("text"), F.explode(F.slice(calls_of(turn - 1), 1, 2)).alias("k"))
+    results = answers.select("conv_id", "turn", id_of(turn - 1, k).alias("call_id"), F.when(k == 0, F.col("text")).otherwise(F.md5(F.col("text").cast("binary"))).alias("content"))
     return calls, results
 
 
 #: DuckDB SQL of link(*tool_messages(conversations), TOOLS).
 SQL = r"""
-WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, turn, md5('call:' || conv_id || ':' || turn) AS call_id, ['search', 'lookup', 'count', 'translate'][(turn // 2 + conv_id) % 4 + 1] AS name,
-      (conv_id + turn) % 11 = 0 AS broken, len(string_split(text, ' '))::BIGINT AS n, text, CASE WHEN turn >= 2 THEN md5('call:' || conv_id || ':' || (turn - 2)) END AS after FROM m WHERE role = 'user'),
-r AS (SELECT conv_id, turn, md5('call:' || conv_id || ':' || (turn - 1)) AS call_id, text AS content FROM m WHERE role = 'assistant'),
-lv AS (SELECT call_id, 0 AS level FROM c WHERE after IS NULL OR after IN (SELECT call_id FROM c)),
-j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, call_id, level, c.call_id IS NULL AS no_call, name, broken, n, text, content,
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, turn, k, md5('call:' || conv_id || ':' || turn || ':' || k) AS call_id, ['search', 'lookup', 'count', 'translate'][(turn // 2 + conv_id + k) % 4 + 1] AS name,
+      (conv_id + turn + k) % 11 = 0 AS broken, (len(string_split(text, ' ')) + k)::BIGINT AS n, CASE WHEN k = 0 THEN text ELSE md5(text) END AS q
+      FROM m, range(0, 3) t(k) WHERE role = 'user' AND k <= (turn // 2 + conv_id) % 3),
+refs AS (SELECT call_id, md5('call:' || conv_id || ':' || (turn - 2) || ':0') AS ref FROM c WHERE k = 0 AND turn >= 2
+      UNION ALL SELECT call_id, md5('call:' || conv_id || ':' || turn || ':' || j) FROM c, range(0, 3) t(j) WHERE j < k OR k = 1 AND j = 2 AND conv_id % 13 = 0 AND (turn // 2 + conv_id) % 3 = 2),
+reach AS (SELECT call_id, ref FROM refs UNION SELECT reach.call_id, refs.ref FROM reach JOIN refs ON refs.call_id = reach.ref),
+lost AS (SELECT ref FROM refs WHERE ref NOT IN (SELECT call_id FROM c) UNION SELECT call_id FROM reach WHERE call_id = ref),
+stuck AS (SELECT ref AS call_id FROM lost UNION SELECT call_id FROM reach WHERE ref IN (SELECT ref FROM lost)),
+paths AS (SELECT call_id, 0 AS d FROM c WHERE call_id NOT IN (SELECT call_id FROM stuck)
+      UNION SELECT refs.call_id, d + 1 FROM paths JOIN refs ON refs.ref = paths.call_id WHERE refs.call_id NOT IN (SELECT call_id FROM stuck)),
+lv AS (SELECT call_id, max(d)::INT AS level FROM paths GROUP BY call_id),
+r AS (SELECT conv_id, turn, md5('call:' || conv_id || ':' || (turn - 1) || ':' || k) AS call_id, CASE WHEN k = 0 THEN text ELSE md5(text) END AS content
+      FROM m, range(0, 2) t(k) WHERE role = 'assistant' AND k <= ((turn - 1) // 2 + conv_id) % 3),
+j AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, call_id, level, c.call_id IS NULL AS no_call, name, broken, n, q, content,
       CASE WHEN c.conv_id IS NULL THEN 'orphan' WHEN r.conv_id IS NULL THEN 'no_result' ELSE 'linked' END AS status
       FROM c FULL JOIN r USING (call_id) LEFT JOIN lv USING (call_id)),
 e AS (SELECT *, CASE WHEN no_call THEN [] ELSE list_sort(list_filter([CASE WHEN broken THEN 'invalid_json' END, CASE WHEN name = 'translate' THEN 'unknown_tool' END,
       CASE WHEN NOT broken AND name = 'search' AND (n < 1 OR n > 100) THEN 'range:limit' END, CASE WHEN NOT broken AND name = 'lookup' THEN 'missing:key' END,
       CASE WHEN NOT broken AND name = 'count' THEN 'type:limit' END], lambda x: x IS NOT NULL)) END AS errs FROM j)
 SELECT conv_id, turn, call_id, level, status, array_to_string(errs, ',') AS errors,
-  '{' || concat_ws(',', CASE WHEN NOT no_call AND NOT broken THEN '"arguments":' || json_object('limit', n, 'query', text)::VARCHAR END, '"conv_id":' || conv_id,
+  '{' || concat_ws(',', CASE WHEN NOT no_call AND NOT broken THEN '"arguments":' || json_object('limit', n, 'query', q)::VARCHAR END, '"conv_id":' || conv_id,
   CASE WHEN len(errs) > 0 THEN '"errors":' || to_json(errs)::VARCHAR END, '"id":"' || call_id || '"', '"level":' || level, '"name":"' || name || '"',
   '"result":' || to_json(content)::VARCHAR, '"status":"' || status || '"', '"turn":' || turn) || '}' AS json
 FROM e
