@@ -464,7 +464,7 @@ def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 _aug = _augment_sql().removeprefix("WITH ").replace(") SELECT id, entity_type, augmentation,", "), au AS (SELECT id, entity_type, augmentation,", 1)
 _STRATA = f"""WITH {_aug}), {_MISSES}, z AS (
 SELECT s.id, CASE WHEN NOT flagged THEN 'negative' WHEN noise_level = 0 THEN 'easy' WHEN noise_level <= 2 THEN 'medium' WHEN noise_level = 3 THEN 'hard' ELSE 'adversarial' END AS stratum, CASE WHEN value = '' THEN text ELSE replace(text, value, augmented) END AS text, flagged, s.entity_type, CASE WHEN flagged THEN cents ELSE 95 END AS cents FROM s JOIN au USING (id)
-UNION ALL SELECT w.id, 'dangerous', w.text, false, 'NONE', 90 FROM w JOIN customer ON c_custkey = w.id WHERE c_nationkey < 10)"""
+UNION ALL SELECT w.id, 'dangerous', w.text, false, 'NONE', 90 FROM w)"""
 
 query("strata_union", f"{_STRATA} SELECT id, stratum, text, flagged, entity_type, cents FROM z")(_strata)
 
