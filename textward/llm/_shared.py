@@ -19,8 +19,14 @@ import textward
 _shipped: set[str] = set()
 
 
+#: Rows and bytes of what goes to a Python worker at a time, so that its memory and the JVM's buffers don't follow the length of texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, as ``--py-files`` would."""
+    """Send this package to the executors once per application, as ``--py-files`` would, and bound the session's Arrow batches."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

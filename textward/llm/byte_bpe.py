@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from textward.llm._shared import kept, ship, slices
 
 #: Distinct words that a worker keeps the ids of, and bytes of new words that go to one DuckDB query.
-KEEP_WORDS = 300_000
-QUERY_BYTES = 600_000
+KEEP_WORDS = 200_000
+QUERY_BYTES = 200_000
 #: Characters of text that a worker splits at a time.
-TEXT_CHARS = 2_000_000
+TEXT_CHARS = 1_000_000
 #: A word of more bytes goes to DuckDB by itself, so many rounds a query that the recursion's rows stay few.
 LONG_WORD = 2000
 
