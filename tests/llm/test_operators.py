@@ -103,28 +103,64 @@ def test_toxicity_counts_terms_as_by_hand(spark):
     assert got == want
 
 
-def test_licences(spark):
-    own = ["The river is long.", "Cloud and stone.", None, ""] * 5
-    texts = [*own, "Foo\nReleased under the MIT License.\n\nbar", "Licensed under the Apache License, Version 2.0.", "a driving license must be renewed", "word " * 3000 + "\nLicensed under CC BY-NC 4.0."]
-    docs = table(spark, texts)
-    got = {r.doc_id: (r.families, r.n_paragraphs) for r in licenses.per_document(docs, licenses.learn(docs)).collect()}
-    n = len(own)
-    assert [got[n + k] for k in range(4)] == [("mit", 4), ("apache", 1), ("", 1), ("cc", 2)]
-    assert all(got[k][0] == "" for k in range(n)) and got[2][1] == 0
-
-
-def test_licences_of_short_names_and_unlisted_ones(spark):
-    texts = ["Available under CC BY-SA 4.0.", "x\nSPDX-License-Identifier: GPL-3.0", "Licensed under the BSD 3-Clause License", "Licensed under the Foo license", "Licensed under X", "Licensed under the Eclipse Public License 2.0", "a CC, a by-law\nand 4 0"]
-    texts += ["The river goes to the sea.\nA stone is under a cloud.", "free of the wind\n\nit is to the left", "Licensed under the Foo license"] * 8
-    docs = table(spark, texts)
-    model = licenses.learn(docs)
-    got = {r.doc_id: r.families for r in licenses.per_document(docs, model).collect()}
-    assert [got[k] for k in range(len(texts))] == ["cc", "gpl", "bsd", *[""] * (len(texts) - 3)]
-    every = {" ".join(w[i : i + k]) for ts in licenses.TEMPLATES.values() for t in ts for w in [t.split()] for k in (2, 3) for i in range(len(w) - k + 1)} - licenses.COMMON
-    assert set(model.weights) == every
-    odd = spark.createDataFrame([(t,) for t in (*every, "the the mit--license of\u00e9the mit_license this work is xmit license", "under cc by cc by nc 4 0", "", "\u0130 cc-by")], "t string")
-    rows = odd.select(licenses._found(F.lower("t"), every).alias("a"), licenses.grams(F.lower("t")).alias("b")).collect()
-    assert all(set(r.a) == set(r.b) & every and len(r.a) == len(set(r.a)) for r in rows)
+def brute_scan(text, model):
+    """scan() in plain Python: (family, confirmed) of each line or paragraph that is not unknown."""
+    norm = lambda t: " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " "
+    out = []
+
+    def one(t):
+        held = [g for g in model.weights if g in norm(t)]
+        if not held:
+            return None
+        z = np.array(model.intercepts) + sum(np.array(model.weights[g]) for g in held)
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        family, confirmed = model.families[int(p.argmax())], False
+        for t in licenses.TEMPLATES.get(family, ()):
+            g = licenses.grams(t)
+            naming = [x for x in g if not licenses.NAMED.isdisjoint(x.split())]
+            confirmed |= 2 * len(set(g) & set(held)) >= len(g) and (not naming or not set(naming).isdisjoint(held))
+        return None if family == licenses.UNKNOWN or p.max() < model.threshold else (family, bool(confirmed), round(float(p.max()), 9))
+
+    for t in re.split("\n[ \t\r]*\n", text or ""):
+        lines = [x for x in map(one, t.split("\n")) if x and x[1]]
+        out += lines or [x for x in [one(t)] if x]
+    return out
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    own = ["The river is long.", "Cloud and stone.", "The river goes to the sea.\nA stone is under a cloud.", "free of the wind\n\nit is to the left", "Licensed under the Foo license", None, ""] * 4
+    return licenses.learn(spark.createDataFrame([(k, t) for k, t in enumerate(own)], "doc_id long, text string"))
+
+
+LICENCES = [
+    ("Foo\nReleased under the MIT License.\n\nbar", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache"), ("a driving license must be renewed", ""), ("word " * 3000 + "\nLicensed under CC BY-NC 4.0.", "cc"), ("Available under CC BY-SA 4.0.", "cc"),
+    ("x\nSPDX-License-Identifier: GPL-3.0", "gpl"), ("Licensed under the BSD 3-Clause License", "bsd"), ("Licensed under the Foo license", ""), ("Licensed under X", ""), ("Licensed under the Eclipse Public License 2.0", ""), ("a CC, a by-law\nand 4 0", ""),
+    ("This software is licensed under the Affero General Public License version 3", ""), ("SPDX-License-Identifier: ISC", ""), ("MIT License", "mit"), ("GNU GENERAL PUBLIC LICENSE", "gpl"), ("Mozilla Public License 2.0", "mpl"), ("Creative Commons Attribution 4.0 International License", "cc"),
+    ("All rights reserved.", "proprietary"), ("Licensed under GPL v3", "gpl"), ("GPL-3.0-or-later", "gpl"), ("Permission is hereby granted, free\nof charge, to any person obtaining\na copy of this", "mit"), ("Released under the MIT\nLicense.", "mit"),
+    ("Released under the MIT License.\nLicensed under CC BY-NC 4.0.\nbar", "cc,mit"), ("mit students released the general version", ""), ("all rights of the author are reserved to the public", ""), (None, ""), ("", ""), (" \n\n \t\n", ""), ("\u0130 xmit license", ""),
+]
+
+
+def test_licences(spark, licence_model):
+    docs = table(spark, [t for t, _ in LICENCES]).withColumns({c: F.lit(1) for c in ("found", "families", "grams", "label", "features")})
+    rows = {r.doc_id: r for r in licenses.per_document(docs, licence_model).collect()}
+    assert [rows[k].families for k in range(len(LICENCES))] == [f for _, f in LICENCES]
+    assert rows[0].n_paragraphs == 2 and rows[25].n_paragraphs == rows[26].n_paragraphs == rows[27].n_paragraphs == 0
+    assert licence_model.calibration_error < 0.1
+    twice = licenses.per_document(docs.unionByName(docs), licence_model)
+    assert twice.count() == 2 * len(LICENCES) and twice.distinct().count() == len(LICENCES) and licenses.per_document(docs.limit(0), licence_model).count() == 0
+
+
+def test_licence_scan_equals_plain_python(spark, licence_model):
+    rng = random.Random(4)
+    pool = sorted({w for g in licence_model.weights for w in g.split()}) + ["river", "stone", "affero"]
+    texts = [t for t, _ in LICENCES] + ["".join(rng.choice(pool) + rng.choice([" ", " ", " ", "\n", "\n\n", "-"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    texts += [f.format(n).title() for f in licenses.FRAMES for n in (*licenses.UNLISTED_NAMES, "MIT license", "gnu general public license")]
+    rows = table(spark, texts).select("doc_id", licenses.scan(F.col("text"), licence_model).alias("f")).collect()
+    for r in rows:
+        assert [(x.family, x.confirmed, round(x.probability, 9)) for x in r.f] == brute_scan(texts[r.doc_id], licence_model), texts[r.doc_id]
 
 
 def test_shards_fit_and_keep_all_rows(spark):
@@ -213,6 +249,70 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_page_rows(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>")] * 2 + [(2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("text", "n_chars", "id")})
+    got = sorted(map(tuple, html_text.extract(pages).collect()), key=str)
+    assert got == sorted([(1, "u", "x", 1)] * 2 + [(2, None, "", 0), (None, "v", "", 0)], key=str)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_density_sums_equal_plain_recursion():
+    rng = random.Random(6)
+    tags = ["div", "p", "a", "b", "ul", "li", "article", "span"]
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "word " * rng.randrange(30)
+        t = rng.choice(tags)
+        return f"<{t}>" + "".join(page(depth - 1) for _ in range(rng.randrange(4))) + f"</{t}>"
+
+    for _ in range(60):
+        tree = html_text.Tree()
+        tree.feed("<body>" + "".join(page(4) for _ in range(4)) + "</body>")
+        tree.close()
+        chosen = html_text.main_nodes(tree.root)
+
+        def count(node):
+            """(characters, tags, those in links)"""
+            kids = [count(x) for x in node.parts if not isinstance(x, str)]
+            c = sum(len(" ".join(x.split())) for x in node.parts if isinstance(x, str)) + sum(k[0] for k in kids)
+            t, lt = sum(k[1] + 1 for k in kids), sum(k[3] + (x.tag == "a") for k, x in zip(kids, [x for x in node.parts if not isinstance(x, str)]))
+            return c, t, c if node.tag == "a" else sum(k[2] for k in kids), lt
+
+        nodes = html_text._walk(tree.root)
+        assert all((n.chars, n.tags, n.link_chars, n.link_tags) == count(n) for n in nodes)
+        body = next(n for n in nodes if n.tag == "body")
+        if body.chars:
+            # nothing has a larger sum than what is marked as the best, and no chosen subtree is below the path's threshold
+            blocks = [n for n in nodes if n is not tree.root and (n.block or n is body) and n.chars and all(a.block or a is body or a is tree.root for a in _above(n))]
+            assert body.best.total == max(n.total for n in blocks)
+            least = min(n.density for n in [body.best, *_above(body.best)] if n is not tree.root)
+            assert all(n.density >= least for n in chosen if n.tag)
+
+
+def _above(node):
+    out = []
+    while node.parent is not None:
+        node = node.parent
+        out.append(node)
+    return out
+
+
+_LONG = "".join(f"<p>Paragraph {k} of the article, which is as long as paragraphs are, with some words {k} and then more of them.</p>" for k in range(2))
+
+
+@pytest.mark.parametrize("box", ["<div class='related'>", "<div class='share-story'>", "<section id='comment-on-law'>", "<form id=aspnetForm>"])
+def test_an_article_in_a_box_of_a_listed_name_is_kept(box):
+    html = f"<body><nav><a href=/>Home</a><a href=/b>More</a></nav>{box}{_LONG}</{box[1:].split()[0].rstrip('>')}><footer>Imprint</footer></body>"
+    assert html_text.main_text(html) == re.sub("<p>(.*?)</p>", r"\1\n", _LONG).strip()
+
+
+def test_comments_longer_than_the_article_go():
+    comments = "<p>A comment that is long, longer and longer, so that it would win over the text above it, which it must not.</p>" * 9
+    assert html_text.main_text(f"<body><article>{_LONG}</article><div class=comments>{comments}</div></body>").count("\n") == 1
+    assert html_text.main_text(f"<body><div class=ad>{'Buy this now, it is the best of all that can be bought. ' * 3}</div><article><h1>T</h1><p>Short text of it.</p></article></body>") == "T\nShort text of it."
+
+
 def test_neighbour_graph_converges(spark, monkeypatch):
     # two trees of small leaves: a poor first graph, which two rounds do not mend
     monkeypatch.setattr(ann, "TREES", 2)

@@ -14,7 +14,7 @@ scored again in double precision on the original vectors.
 
 Defined results: vectors that are null, zero, or hold null, NaN or infinite components take no part; ties go to the
 smaller id; with fewer candidates than k all are returned; an empty table gives no rows. Vectors must have one length
-(the most frequent; others take no part). Repeated ids count once.
+(the most frequent; others take no part). Of rows with one id, that of least bytes counts.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from textward.llm._shared import cut, forget, ship
 K, S, TREES, LEAF = 28, 22, 12, 512
 #: Share of the graph's edges that a round must change for another one to follow.
 CHANGED = 0.001
-E, EF = 40, 200
+E, EF = 64, 256
 QUERY_BLOCK = 20_000
 ENTRIES = 8
 BITS = 24
@@ -68,22 +68,53 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[pa.Arr
         yield [c.combine_chunks() for c in left.columns]
 
 
-_NEAR = "id long, near array<struct<score:float,w:long>>"
-_NEAR_ARROW = pa.list_(pa.struct([("score", pa.float32()), ("w", pa.int64())]))
+_NEAR = "id long, w array<long>, s array<float>"
+_STATE = "query_id long, w array<long>, s array<float>, seen array<boolean>, front array<long>"
 
 
-def _lists(counts: np.ndarray, scores: np.ndarray, w: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(np.round(scores, 4), pa.float32()), pa.array(w, pa.int64())], ["score", "w"]))
+def _starts(of: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
 
 
-def _best(near: str, k: int):
-    """The k best of arrays of neighbours that were collected, each neighbour once."""
-    return F.slice(F.sort_array(F.array_distinct(F.flatten(near)), asc=False), 1, k)
+def _best(of: np.ndarray, w: np.ndarray, s: np.ndarray, k: int, seen: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Of each `of`, the k entries of best score and then of least w, in this order, each w once (seen, if any of them was)."""
+    seen = np.zeros(len(of), bool) if seen is None else seen
+    for last in (True, False):
+        order = np.lexsort((-s, ~seen, w, of) if last else (w, -s, of))
+        of, w, s, seen = of[order], w[order], s[order], seen[order]
+        if last:
+            first = np.concatenate([[True], (of[1:] != of[:-1]) | (w[1:] != w[:-1])]) if len(of) else np.empty(0, bool)
+            of, w, s, seen = of[first], w[first], s[first], seen[first]
+    at = _starts(of)
+    keep = np.arange(len(of)) - np.repeat(at, np.diff(np.append(at, len(of)))) < k
+    return of[keep], w[keep], s[keep], seen[keep]
+
+
+def _lists(of: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+    """The distinct `of`, which are neighbours, and the columns as lists."""
+    at = _starts(of)
+    offsets = pa.array(np.append(at, len(of)).astype(np.int32))
+    return [pa.array(of[at]), *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns)]
+
+
+def _flat(keys: pa.Array, *lists: pa.Array) -> list[np.ndarray]:
+    """The keys, once for each entry, and the entries."""
+    return [np.repeat(keys.to_numpy(), lists[0].value_lengths().to_numpy()), *(x.flatten().to_numpy(zero_copy_only=False) for x in lists)]
+
+
+def _top(near: DataFrame) -> DataFrame:
+    """The K best neighbours of each node, from rows of any of its neighbours."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _groups(batches, 0):
+            of, w, s, _ = _best(*_flat(*columns), K)
+            yield pa.RecordBatch.from_arrays(_lists(of, w, s), ["id", "w", "s"])
+
+    return near.repartition("id").sortWithinPartitions("id").mapInArrow(top, _NEAR)
 
 
 class Index:
-    """nodes: (id, members, v32 binary, x16 binary with the added component, norm); graph: (id, near)."""
+    """nodes: (id, members, v32 binary, x16 binary with the added component, norm); graph: (id, w, s), the neighbours and their scores, best first."""
 
     def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20):
         spark = vectors.sparkSession
@@ -94,10 +125,11 @@ class Index:
         def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 held: dict[bytes, list[int]] = {}
-                for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    held.setdefault((v.values.to_numpy() + 0.0).tobytes(), []).append(i)
+                for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held.setdefault(v, []).append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array([sorted(set(x))[:members] for x in held.values()], pa.list_(pa.int64()))], ["v", "members"])
 
+        rows = rows.mapInArrow(pack, "id long, v binary").groupBy("id").agg(F.min("v").alias("v"))
         same = rows.mapInArrow(combine, "v binary, members array<long>").groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))), 1, members).alias("members"))
         self.vectors = cut(same.select(F.col("members")[0].alias("id"), "members", "v"), "ann-vectors")
         first = self.vectors.select("v").first()
@@ -127,7 +159,7 @@ class Index:
         turn, share = 0, 1.0
         while share >= CHANGED:
             better = cut(self._descend(points, graph, turn), "ann-graph")
-            edges = better.join(graph.select("id", F.col("near.w").alias("old")), "id").agg(F.sum(F.size(F.array_except("near.w", "old"))).alias("new"), F.sum(F.size("near")).alias("n")).first()
+            edges = better.join(graph.select("id", F.col("w").alias("old")), "id").agg(F.sum(F.size(F.array_except("w", "old"))).alias("new"), F.sum(F.size("w")).alias("n")).first()
             turn, share = turn + 1, (edges.new or 0) / max(edges.n or 0, 1)
             forget(graph)
             graph = better
@@ -168,15 +200,15 @@ class Index:
             w = np.argpartition(-s, n - 1, axis=1)[:, :n]
             score = np.take_along_axis(s, w, 1)
             ok = score > -9
-            return pa.RecordBatch.from_arrays([pa.array(ids), _lists(ok.sum(1), score[ok], ids[w][ok])], ["id", "near"])
+            return pa.RecordBatch.from_arrays(_lists(np.repeat(ids, ok.sum(1)), ids[w][ok], score[ok]), ["id", "w", "s"])
 
         coded = points.mapInArrow(codes, "code long, id long, x binary").repartitionByRange("code", "id").sortWithinPartitions("code", "id")
-        return coded.mapInArrow(leaves, _NEAR).groupBy("id").agg(F.collect_list("near").alias("near")).select("id", _best("near", K).alias("near"))
+        return _top(coded.mapInArrow(leaves, _NEAR))
 
     def _descend(self, points: DataFrame, graph: DataFrame, turn: int) -> DataFrame:
         width = self.dim + 1
-        worst = F.when(F.size("near") >= K, F.element_at("near", -1)["score"]).otherwise(F.lit(-9.0)).cast("float")
-        ahead = graph.select(F.col("id").alias("pivot"), F.explode(F.slice("near", 1, S)["w"]).alias("id"))
+        worst = F.when(F.size("w") >= K, F.element_at("s", -1)).otherwise(F.lit(-9.0)).cast("float")
+        ahead = graph.select(F.col("id").alias("pivot"), F.explode(F.slice("w", 1, S)).alias("id"))
         # of those that list a node about S are taken, by hash: hubs stay small
         listed = ahead.groupBy("id").agg(F.count("*").alias("n"))
         back = ahead.join(listed, "id").where(F.pmod(F.xxhash64("pivot", "id", F.lit(turn)), F.lit(1_000_000)) * F.col("n") < S * 1_000_000).select(F.col("id").alias("pivot"), F.col("pivot").alias("id"))
@@ -200,15 +232,11 @@ class Index:
                     out_w.append(ids[a + w[u, c]])
                     out_s.append(score[u, c])
                     a = b
-                u, w, s = (np.concatenate(o) for o in (out_u, out_w, out_s))
-                order = np.argsort(u, kind="stable")
-                u, w, s = u[order], w[order], s[order]
+                u, w, s, _ = _best(*(np.concatenate(o) for o in (out_u, out_w, out_s)), K)
                 if len(u):
-                    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(u[first]), _lists(np.diff(np.append(first, len(u))), s, w)], ["id", "near"])
+                    yield pa.RecordBatch.from_arrays(_lists(u, w, s), ["id", "w", "s"])
 
-        found = met.mapInArrow(local, _NEAR)
-        return found.unionByName(graph).groupBy("id").agg(F.collect_list("near").alias("near")).select("id", _best("near", K).alias("near"))
+        return _top(met.mapInArrow(local, _NEAR).unionByName(graph))
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """queries: ids of indexed rows (query_id). (query_id, rank, vec_id, score): each query's k nearest other rows."""
@@ -216,7 +244,7 @@ class Index:
         schema = "query_id long, rank int, vec_id long, score double"
         if self.graph is None:
             return spark.createDataFrame([], schema)
-        ids = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").alias("qv")).dropDuplicates(["query_id"])
+        ids = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("v").alias("qv")).groupBy("query_id").agg(F.min("qv").alias("qv"))
         n = ids.count()
         blocks = -(-n // QUERY_BLOCK) if n else 0
         out = None
@@ -235,31 +263,38 @@ class Index:
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             for batch in batches:
-                at = np.searchsorted(names, batch.column(0).to_numpy())
-                s = np.einsum("ij,ij->i", q[at], _matrix(batch.column(2), np.float32, dim))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float32())], ["query_id", "w", "score"])
+                of = batch.column(0).to_numpy()
+                s = np.einsum("ij,ij->i", q[np.searchsorted(names, of)], _matrix(batch.column(2), np.float32, dim))
+                of, w, s, seen = _best(of, batch.column(1).to_numpy(), s, EF)
+                yield pa.RecordBatch.from_arrays(_lists(of, w, s, seen), ["query_id", "w", "s", "seen"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for of, w, s, seen in _groups(batches, 0):
+                of, w, s, seen = _flat(of, w, s, seen)
+                of, w, s, seen = _best(of, w, s, EF, seen)
+                # the first E that were not expanded
+                at, open_ = _starts(of), np.cumsum(~seen)
+                before = np.repeat(open_[at] - ~seen[at], np.diff(np.append(at, len(of))))
+                now = ~seen & (open_ - before <= E)
+                ends = np.concatenate([[0], np.cumsum(now)])[np.append(at, len(of))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*_lists(of, w, s, seen | now), pa.ListArray.from_arrays(pa.array(ends), pa.array(w[now]))], ["query_id", "w", "s", "seen", "front"])
 
         def scored(pairs: DataFrame) -> DataFrame:
-            return pairs.join(self.nodes.select(F.col("id").alias("w"), "v"), "w").select("query_id", "w", "v").mapInArrow(score, "query_id long, w long, score float")
+            return pairs.join(self.nodes.select(F.col("id").alias("w"), "v"), "w").select("query_id", "w", "v").mapInArrow(score, "query_id long, w array<long>, s array<float>, seen array<boolean>")
+
+        def merged(rows: DataFrame) -> DataFrame:
+            return cut(rows.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, _STATE), "ann-state")
 
         own = self.vectors.select("id", F.col("v").alias("qv")).join(queries, "qv").select("query_id", "id")
-        start = own.join(self.graph, "id").select("query_id", F.explode(F.concat(F.array("id"), F.col("near.w"), F.array(*(F.lit(x) for x in self.entries)))).alias("w")).distinct()
-        beam = F.slice(F.sort_array(F.collect_list(F.struct("score", "w")), asc=False), 1, EF)
-        state = cut(scored(start).groupBy("query_id").agg(beam.alias("beam")).select("query_id", "beam", F.array().cast("array<long>").alias("done")), "ann-state")
-        while True:
-            now = state.withColumn("front", F.slice(F.filter(F.col("beam.w"), lambda w: ~F.array_contains("done", w)), 1, E))
-            front = now.select("query_id", F.explode("front").alias("id"))
-            if not front.limit(1).count():
-                break
-            pairs = front.join(self.graph, "id").select("query_id", F.explode("near.w").alias("w")).distinct()
-            new = scored(pairs).groupBy("query_id").agg(F.collect_list(F.struct("score", "w")).alias("new"))
-            joined = now.join(new, "query_id", "left")
-            both = F.array_distinct(F.concat("beam", F.coalesce("new", F.array().cast("array<struct<score:float,w:long>>"))))
-            after = cut(joined.select("query_id", F.slice(F.sort_array(both, asc=False), 1, EF).alias("beam"), F.concat("done", "front").alias("done")), "ann-state")
+        start = own.join(self.graph, "id", "left").select("query_id", F.explode(F.concat(F.array("id"), F.coalesce("w", F.array().cast("array<long>")), F.array(*(F.lit(x) for x in self.entries)))).alias("w")).distinct()
+        state = merged(scored(start))
+        while state.where(F.size("front") > 0).limit(1).count():
+            pairs = state.select("query_id", F.explode("front").alias("id")).join(self.graph, "id").select("query_id", F.explode("w").alias("w")).distinct()
+            after = merged(state.drop("front").unionByName(scored(pairs)))
             forget(state)
             state = after
         # one more than k nodes, as the query's own may be one; a node stands for its members
-        best = state.select("query_id", F.explode(F.slice("beam.w", 1, 2 * k + 2)).alias("w"))
+        best = state.select("query_id", F.explode(F.slice("w", 1, 2 * k + 2)).alias("w"))
         full = best.join(self.vectors.select(F.col("id").alias("w"), "members", "v"), "w").join(queries, "query_id")
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,11 +307,13 @@ class Index:
         return rows.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def queries_of(vectors: DataFrame, every: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, v): the rows whose id is divisible by `every`, as queries."""
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as the bytes of their components."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(v.values.to_numpy() + 0.0).tobytes() for v in batch.column(1)], pa.binary())], ["id", "v"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(v.values.to_numpy() + 0.0).tobytes() for v in batch.column(1)], pa.binary())], ["query_id", "v"])
 
-    return usable(vectors, id_col, vec_col).where(F.pmod("id", F.lit(every)) == 0).mapInArrow(pack, "query_id long, v binary")
+def queries_of(vectors: DataFrame, every: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, v): the rows whose id is divisible by `every`, as queries."""
+    rows = usable(vectors, id_col, vec_col).where(F.pmod("id", F.lit(every)) == 0)
+    return rows.mapInArrow(pack, "id long, v binary").withColumnRenamed("id", "query_id")

@@ -5,9 +5,11 @@ characters per tag, divided by how much of it is links compared with the page (s
 children's densities have the largest sum holds the main text and is kept whole. The least density on the path from it
 to the body is the threshold: from the body down, a subtree whose density is below it is dropped, and of one that reaches it
 the node of largest sum is kept whole and the parts around that node are looked at in the same way. So an article split over several
-subtrees stays whole, and menus and boxes beside it go, however deep all of them are wrapped. Inline content between blocks counts as one child. Elements that never
-hold an article's text (scripts, navigation, footers, asides, forms, adverts, notices, comments; by tag, role, or the
-words of class and id) are left out beforehand.
+subtrees stays whole, and menus and boxes beside it go, however deep all of them are wrapped. Inline content between blocks counts as one child.
+Only scripts, styles and other elements without text are left out before.
+
+Within what density chose, elements that hold no article's text by tag or role, or by the words of class and id, are left out. If no block of REAL characters is left then, density chooses again
+without them; if that finds nearly nothing, the largest of those told by words (or a form) is kept after all: an article in a box called "related" is still the article.
 
 Character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined by one
 line feed in page order; empty blocks vanish; nothing else is dropped. A null or empty page has the empty text; pages
@@ -33,23 +35,27 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table article section div body html td th".split())
 
+#: Elements whose text is never shown.
+HIDDEN_TAGS = frozenset("head script style noscript template iframe object svg canvas audio video select textarea".split())
 #: Elements that are no part of an article's text.
-OUT_TAGS = frozenset("head script style noscript template nav footer aside form button select textarea input iframe object svg canvas menu dialog audio video".split())
+OUT_TAGS = frozenset("nav footer aside button input menu dialog".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent notice banner popup modal newsletter subscribe comment comments respond disqus share sharing social related recommended".split())
+#: Characters of a block, links apart, that an article has at least one of.
+REAL = 80
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "tags", "link_chars", "link_tags", "density", "block", "total", "best")
+    __slots__ = ("tag", "parent", "parts", "out", "doubt", "chars", "tags", "link_chars", "link_tags", "density", "block", "total", "best")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool, doubt: str = ""):
+        self.tag, self.parent, self.out, self.doubt = tag, parent, out, doubt
         self.parts: list[str | Node] = []
 
 
 class Tree(HTMLParser):
-    """A page's nodes; text in elements that are left out is not kept."""
+    """A page's nodes; text that is never shown is not kept."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -60,7 +66,7 @@ class Tree(HTMLParser):
             self._end("p", SCOPES)
         for closed in CLOSES.get(tag, ()):
             self._end(closed, SCOPES)
-        node = Node(tag, self.at, self.at.out or _left_out(tag, attrs, self.at))
+        node = Node(tag, self.at, self.at.out or tag in HIDDEN_TAGS or any(name == "hidden" for name, _ in attrs), _doubt(tag, attrs, self.at))
         self.at.parts.append(node)
         if tag not in VOID:
             self.at = node
@@ -86,19 +92,16 @@ class Tree(HTMLParser):
             self.at = node.parent
 
 
-def _left_out(tag: str, attrs: list, parent: Node) -> bool:
-    if tag in OUT_TAGS:
-        return True
-    if tag == "header":
-        return not _inside(parent, "article")
-    if tag in ("body", "html", "article", "main"):
-        return False
-    for name, value in attrs:
-        if value and (name == "role" and value.lower() in OUT_ROLES or name in ("class", "id") and not OUT_WORDS.isdisjoint(_SPLIT.split(value.lower()))):
-            return True
-        if name == "hidden":
-            return True
-    return False
+def _doubt(tag: str, attrs: list, parent: Node) -> str:
+    """Why an element is no part of an article: "sure" by its tag or role, "likely" by the words of its class and id; or nothing."""
+    if tag in OUT_TAGS or tag == "header" and not _inside(parent, "article"):
+        return "sure"
+    if tag in ("header", "body", "html", "article", "main"):
+        return ""
+    given = {name: (value or "").lower() for name, value in attrs}
+    if given.get("role") in OUT_ROLES:
+        return "sure"
+    return "likely" if tag == "form" or not OUT_WORDS.isdisjoint(_SPLIT.split(given.get("class", "") + " " + given.get("id", ""))) else ""
 
 
 def _inside(node: Node | None, tag: str) -> bool:
@@ -193,8 +196,8 @@ def main_nodes(root: Node) -> list[Node]:
     return out
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts of a subtree's blocks."""
+def blocks(node: Node, doubted: list[Node]) -> list[str]:
+    """The texts of a subtree's blocks; nodes in doubt are left out and put to doubted."""
     out: list[str] = []
     now: list[str] = []
 
@@ -213,6 +216,10 @@ def blocks(node: Node) -> list[str]:
             now.append(x)
         elif x.tag == "br":
             now.append(" ")
+        elif x.doubt and not x.out:
+            doubted.append(x)
+            if x.tag in BLOCKS:
+                close()
         elif not x.out:
             block = x.tag in BLOCKS
             if block:
@@ -223,13 +230,41 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
+def _choose(root: Node) -> tuple[list[str], list[Node]]:
+    """The blocks of the subtrees that density chooses, and the nodes in doubt that were left out of them."""
+    out, doubted = [], []
+    for node in main_nodes(root):
+        # a node in doubt further up leaves out all that is below it
+        above, last = node.parent, None
+        while above is not None:
+            above, last = above.parent, above if above.doubt else last
+        if last is None:
+            out += blocks(node, doubted)
+        else:
+            doubted.append(last)
+    return out, doubted
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
     tree = Tree()
     tree.feed(html)
     tree.close()
-    return "\n".join(x for node in main_nodes(tree.root) for x in blocks(node))
+    real = lambda out: any(len(x) >= REAL for x in out)
+    size = lambda x: x.chars - x.link_chars
+    out, doubted = _choose(tree.root)
+    dropped: list[Node] = []
+    while doubted and not real(out):  # density chose little else: it chooses again without them
+        for x in doubted:
+            x.out = True
+        dropped += doubted
+        out, doubted = _choose(tree.root)
+    likely = max((x for x in dropped if x.doubt == "likely"), key=size, default=None)
+    if likely is not None and not real(out) and size(likely) >= max(REAL, 10 * sum(map(len, out))):
+        likely.out, likely.doubt = False, ""
+        out, _ = _choose(tree.root)
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
