@@ -38,10 +38,25 @@ def test_split_sizes_are_exact(spark, n):
 
 
 def test_typos_keep_short_values_and_edit_others(spark):
-    rows = spark.createDataFrame([(1, "a"), (2, ""), (3, "abcdef")], "id int, v string").select("v", g.typos(F.col("id"), F.col("v"), 2).alias("t")).collect()
+    rows = spark.createDataFrame([(1, "a"), (2, ""), (3, "abcdef")], "id int, v string").select("v", g.typos(F.col("id"), F.col("v"), F.lit(2)).alias("t")).collect()
     assert rows[0].t == "a" and rows[1].t == "" and 4 <= len(rows[2].t) <= 8
 
 
+def test_each_typo_is_one_of_the_edits_by_hand(spark):
+    def all_edits(v):
+        for p in range(len(v)):
+            near = g.KEYS_NEAR.get(v[p].lower(), "")
+            yield v[:p] + v[p + 1 : p + 2] + v[p] + v[p + 2 :]
+            yield v[:p] + v[p + 1 :]
+            yield from (v[:p] + k + v[p:] for k in (*near, v[p - 1] if p else "", ""))
+            yield from (v[:p] + k + v[p + 1 :] for k in near or v[p])
+            yield v[:p] + v[p] + v[p:]
+
+    for v in ("Ab1-", "zz", "é9 q"):
+        got = {r.t for r in spark.range(400).select(g.typos(F.col("id"), F.lit(v), F.lit(1)).alias("t")).collect()}
+        assert got <= set(all_edits(v)) and len(got) > 4
+
+
 def test_quotas_add_up():
     for n in (0, 1, 7, 999):
         assert sum(g.quotas(n).values()) == n

@@ -23,10 +23,10 @@ def readable(kind: Column, strip_us: bool = True) -> Column:
     return F.initcap(F.replace(out, F.lit("US "), F.lit("")) if strip_us else out)
 
 
-def type_counts(entities: Column) -> Column:
+def type_counts(entities: Column, strip_us: bool = True) -> Column:
     """'2 Email, 1 Person': the types in order."""
     kinds = F.array_sort(F.array_distinct(F.transform(entities, lambda e: e["type"])))
-    return F.array_join(F.transform(kinds, lambda k: F.concat_ws(" ", F.size(F.filter(entities, lambda e: e["type"] == k)).cast("string"), readable(k))), ", ")
+    return F.array_join(F.transform(kinds, lambda k: F.concat_ws(" ", F.size(F.filter(entities, lambda e: e["type"] == k)).cast("string"), readable(k, strip_us))), ", ")
 
 
 def decide(df: DataFrame, entities: str = "entities") -> DataFrame:

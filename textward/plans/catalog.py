@@ -44,7 +44,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def samples_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.samples(table(spark, sf_dir, "customer"), "c_custkey")
 
 
@@ -81,7 +81,7 @@ def prefilter_quick_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _extract(rule_list, docs: bool):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        src = _docs(spark, sf_dir) if docs else _samples(spark, sf_dir)
+        src = _docs(spark, sf_dir) if docs else samples_of(spark, sf_dir)
         low = F.lower("text")
         found = F.concat(*(typed(F.col("text"), low, r) for r in rule_list))
         return src.select("id", F.explode(found).alias("e")).select("id", "e.type", "e.value", "e.start", "e.end", "e.cents")
@@ -111,7 +111,7 @@ def extract_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("detect_full", f"WITH {sql.SAMPLES}, {sql.ENTITIES} {_ROWS}")
 def detect_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entities(_samples(spark, sf_dir))
+    return _entities(samples_of(spark, sf_dir))
 
 
 @query("detect_documents", f"WITH {sql.DOCS}, {sql.ENTITIES} {_ROWS}")
@@ -121,7 +121,7 @@ def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("phone_span_dedup", f"WITH {sql.SAMPLES}, {sql.ENTITIES} SELECT id, count_if(type = 'PHONE') AS kept, count(*) FILTER (WHERE type = 'PHONE' AND k > 1) AS dropped FROM d WHERE prio <= 7 GROUP BY id".replace("count_if(type = 'PHONE')", "count(*) FILTER (WHERE type = 'PHONE' AND k = 1)"))
 def phone_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, low = _samples(spark, sf_dir), F.lower("text")
+    s, low = samples_of(spark, sf_dir), F.lower("text")
     raw = F.concat(*(typed(F.col("text"), low, r) for r in rules.PHONES))
     kept = F.filter("entities", lambda e: e["type"] == "PHONE")
     others = F.filter("entities", lambda e: e["type"].isin("IN_AADHAAR", "IN_PAN", "EMAIL"))
@@ -132,18 +132,18 @@ def phone_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("card_aadhaar_suppression", f"""WITH {sql.SAMPLES}, {sql.ENTITIES} SELECT r.id, r.value, EXISTS (SELECT 1 FROM r a WHERE a.id = r.id AND a.type = 'IN_AADHAAR' AND a.start = r.start) AS suppressed FROM r WHERE type = 'CREDIT_CARD'""")
 def card_aadhaar_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
-    s = _samples(spark, sf_dir).select("id", typed(F.col("text"), low, rules.CARD).alias("cards"), typed(F.col("text"), low, rules.AADHAAR).alias("a"))
+    s = samples_of(spark, sf_dir).select("id", typed(F.col("text"), low, rules.CARD).alias("cards"), typed(F.col("text"), low, rules.AADHAAR).alias("a"))
     return s.select("id", F.explode("cards").alias("c"), "a").select("id", "c.value", F.exists("a", lambda x: x["start"] == F.col("c.start")).alias("suppressed"))
 
 
 @query("doc_confidence", f"{_SX} SELECT id, n AS n_entities, CASE WHEN n = 0 THEN 1.0 ELSE round(total / (n * 100), 6) END AS doc_confidence FROM x".replace("n AS n_entities", "n::INT AS n_entities"))
 def doc_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(_samples(spark, sf_dir)).select("id", F.size("entities").alias("n_entities"), document_confidence(F.col("entities")).alias("doc_confidence"))
+    return detect(samples_of(spark, sf_dir)).select("id", F.size("entities").alias("n_entities"), document_confidence(F.col("entities")).alias("doc_confidence"))
 
 
-@query("all_positions", f"WITH {sql.SAMPLES} SELECT id, k - 1 AS place FROM (SELECT id, text, unnest(range(1, length(text) + 1)) AS k FROM s) WHERE substr(text, k, 1) = 'e'".replace("k - 1 AS place", "(k - 1)::INT AS place"))
+@query("all_positions", f"WITH {sql.SAMPLES} SELECT id, k - 1 AS place FROM (SELECT id, text, unnest(range(1, length(text) + 1)) AS k FROM s) WHERE value <> '' AND substr(text, k, least(2, length(value))) = substr(value, 1, 2)".replace("k - 1 AS place", "(k - 1)::INT AS place").replace("SELECT id, text, unnest", "SELECT id, text, value, unnest"))
 def all_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(spark, sf_dir).select("id", F.explode(all_places(F.col("text"), F.lit("e"))).alias("place"))
+    return samples_of(spark, sf_dir).select("id", F.explode(all_places(F.col("text"), F.substring("value", 1, 2))).alias("place"))
 
 
 @query("placeholder_scan", f"WITH {sql.SAMPLES} SELECT id, regexp_extract(t, '\\{{([A-Z_]+)\\}}', 1) AS placeholder, count(*) AS n FROM s2 WHERE regexp_matches(t, '\\{{([A-Z_]+)\\}}') GROUP BY ALL")
@@ -161,16 +161,16 @@ def placeholder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("severity_lookup", f"WITH {sql.SAMPLES}, {sql.ENTITIES} SELECT id, type, start, ({sql.SEVERITY})::INT AS severity, {sql.TITLE} AS readable FROM e")
 def severity_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entities(_samples(spark, sf_dir)).select("id", "type", "start", severity(F.col("type")).alias("severity"), readable(F.col("type")).alias("readable"))
+    return _entities(samples_of(spark, sf_dir)).select("id", "type", "start", severity(F.col("type")).alias("severity"), readable(F.col("type")).alias("readable"))
 
 
 @query("max_severity", f"{_SX} SELECT id, severity FROM x")
 def max_severity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(_samples(spark, sf_dir)).select("id", max_severity(F.col("entities")).alias("severity"))
+    return detect(samples_of(spark, sf_dir)).select("id", max_severity(F.col("entities")).alias("severity"))
 
 
 def _decided(*columns: str):
-    return lambda spark, sf_dir: decide(detect(_samples(spark, sf_dir))).select("id", *columns)
+    return lambda spark, sf_dir: decide(detect(samples_of(spark, sf_dir))).select("id", *columns)
 
 
 for _name, _columns in (("decide_action", ("action", "severity", "confidence")), ("verdict_status", ("verdict", "status_code")), ("reason_text", ("reason",)), ("fallback_flag", ("fallback",))):
@@ -179,7 +179,7 @@ for _name, _columns in (("decide_action", ("action", "severity", "confidence")),
 
 @query("risk_level", f"{_SX} SELECT id, CASE WHEN round(confidence * 10) >= 9 THEN 'HIGH' WHEN round(confidence * 10) >= 6 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM x")
 def risk_level_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide(detect(_samples(spark, sf_dir))).select("id", risk_level(F.round(F.col("confidence") * 10)).alias("risk"))
+    return decide(detect(samples_of(spark, sf_dir))).select("id", risk_level(F.round(F.col("confidence") * 10)).alias("risk"))
 
 
 _LOG = "CASE WHEN action = 'BLOCK' THEN 'warning' WHEN n > 0 THEN 'info' ELSE 'debug' END"
@@ -244,7 +244,7 @@ _WAYS = 11
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _samples(spark, sf_dir).where("flagged")
+    s = samples_of(spark, sf_dir).where("flagged")
     k, v = F.pmod("id", F.lit(_WAYS)), F.col("value")
     entity = lambda value, c: F.concat(F.lit('{"type":"'), F.col("entity_type"), F.lit('","value":"'), value, F.lit(f'","start":0,"end":0,"confidence":{c}}}'))
     doc = lambda es, c="9": F.concat(F.lit(f'{{"flagged":true,"confidence":{c},"entities":'), es, F.lit(',"reason":"seen"}'))
@@ -312,7 +312,7 @@ def model_or_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # generation
 
-query("gen_samples", f'WITH {sql.SAMPLES} SELECT id, entity_type, text, value, start, "end", flagged FROM s')(_samples)
+query("gen_samples", f'WITH {sql.SAMPLES} SELECT id, entity_type, text, value, start, "end", flagged FROM s')(samples_of)
 
 
 def _gen(kind: str):
@@ -337,14 +337,17 @@ _MISSES = f"w AS (SELECT id, kind, {sql.cases('kind', _MISS, chr(39) * 2)} AS te
 
 
 def _misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind, text = g.near_miss(F.col("id"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).select("id", kind.alias("kind"), text.alias("text"))
+    return g.near_misses(table(spark, sf_dir, "customer"), "c_custkey")
 
 
 query("gen_near_misses", f"WITH {_MISSES} SELECT * FROM w")(_misses)
 
 
-@query("negative_variation", f"WITH {_MISSES} SELECT id, CASE WHEN {sql.below('v0', 2)} = 0 THEN {sql.pick('v1', ['Note: ', 'FYI, ', 'Update: ', 'Reminder: '])} ELSE '' END || text || CASE WHEN {sql.below('v2', 100)} < 30 THEN ' Ref ' || {sql.digits('v3', 6)} ELSE '' END AS text FROM w")
+def varied(text: str, key: str = "id") -> str:
+    return f"{sql.pick('v1', g.PREFIXES, key)} || {text} || CASE WHEN {sql.below('v2', 100, key)} < 30 THEN ' (Ref: ' || ({sql.below('v3', 9000, key)} + 1000) || ')' WHEN {sql.below('v4', 100, key)} < 20 THEN ' [' || {sql.pick('v5', g.TAGS, key)} || ']' ELSE '' END"
+
+
+@query("negative_variation", f"WITH {_MISSES} SELECT id, {varied('text')} AS text FROM w")
 def negative_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _misses(spark, sf_dir).select("id", g.vary_negative(F.col("id"), F.col("text")).alias("text"))
 
@@ -354,25 +357,50 @@ def near_miss_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(_misses(spark, sf_dir)).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.size("entities") > 0).alias("flagged"))
 
 
-def _augment_sql() -> str:
+def _augment_sql() -> tuple[str, str]:
+    """The way that is drawn, and a value written in it, from entity_type, id, value and augmentation."""
     d, ten = "regexp_replace(value, '[^0-9]', '', 'g')", "right(regexp_replace(value, '[^0-9]', '', 'g'), 10)"
     cut = lambda a, n, of=d: f"substr({of}, {a}, {n})"
+    groups = lambda x: f"concat_ws(' ', substr({x}, 1, 4), substr({x}, 5, 4), substr({x}, 9, 4))"
     spread = lambda x: f"array_to_string(string_split({x}, ''), ' ')"
+    one_of = lambda slot, *xs: f"CASE {sql.below(slot, len(xs))} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(xs)) + " END"
+    bound = lambda x, f: f"list_transform([{x}], lambda y: {f('y')})[1]"
+    local, domain = "string_split(value, '@')[1]", "string_split(value, '@')[-1]"
+    digit = f"substr({d}, i::INT, 1)"
+    words = "[" + ", ".join(map(sql.quote, g.DIGIT_WORDS)) + f"][{digit}::INT + 1]"
     ways = {
-        "IN_AADHAAR": {"clean": f"concat_ws(' ', {cut(1, 4)}, {cut(5, 4)}, {cut(9, 4)})", "no_spaces": d, "dashed": f"concat_ws('-', {cut(1, 4)}, {cut(5, 4)}, {cut(9, 4)})", "spaced_out": spread(d), "partial_masked": f"'XXXX XXXX ' || {cut(9, 4)}", "truncated": cut(1, 8)},
-        "IN_PAN": {"clean": "value", "lowercase": "lower(value)", "spaced": "concat_ws(' ', substr(value, 1, 5), substr(value, 6, 4), substr(value, 10, 1))", "partial_masked": "substr(value, 1, 2) || 'XXX' || substr(value, 6, 5)"},
-        "EMAIL_ADDRESS": {"clean": "value", "uppercase": "upper(value)", "spaced_at": "replace(value, '@', ' @ ')", "at_written": "replace(value, '@', ' at ')", "dot_written": "replace(value, '.', ' dot ')", "obfuscated": "replace(replace(value, '@', '[at]'), '.', '[dot]')"},
-        "PHONE_NUMBER": {"clean_indian": f"'+91 ' || {cut(1, 5, ten)} || ' ' || {cut(6, 5, ten)}", "no_country_code": ten, "dashed": f"concat_ws('-', {cut(1, 3, ten)}, {cut(4, 3, ten)}, {cut(7, 4, ten)})", "parentheses": f"'(' || {cut(1, 3, ten)} || ') ' || {cut(4, 3, ten)} || '-' || {cut(7, 4, ten)}", "spaced_out": spread(ten), "partial_masked": f"'XXXXXX' || {cut(7, 4, ten)}"},
+        "IN_AADHAAR": {
+            "clean": groups(d), "no_spaces": d, "dashed": f"concat_ws('-', {cut(1, 4)}, {cut(5, 4)}, {cut(9, 4)})", "mixed_separators": f"{cut(1, 4)} || {sql.pick('x1', g.SEPARATORS)} || {cut(5, 4)} || {sql.pick('x2', g.SEPARATORS)} || {cut(9, 4)}",
+            "ocr_corrupted": bound(sql.misread(d, 15), groups), "typo": bound(sql.typo(d), lambda y: f"CASE WHEN length({y}) >= 12 THEN {groups(y)} ELSE {y} END"),
+            "partial_masked": one_of("x3", f"'XXXX XXXX ' || {cut(9, 4)}", f"'****-****-' || {cut(9, 4)}", f"{cut(1, 4)} || '-XXXX-' || {cut(9, 4)}"),
+            "written_out": sql.each(d, f"CASE WHEN {sql.at('y', 'i')} % 100 < 30 THEN {words} ELSE {digit} END", " "), "spaced_out": spread(d), "truncated": cut(1, 8),
+        },
+        "IN_PAN": {
+            "clean": "value", "lowercase": "lower(value)", "mixed_case": sql.mixed_case("value"), "ocr_corrupted": sql.misread("upper(value)", 20), "spaced": "concat_ws(' ', substr(value, 1, 5), substr(value, 6, 4), substr(value, 10, 1))",
+            "partial_masked": one_of("x3", "substr(value, 1, 5) || 'XXXX' || substr(value, 10, 1)", "substr(value, 1, 3) || '****' || substr(value, 8, 3)", "'XXXXX' || substr(value, 6, 5)"), "typo": f"upper({sql.typo('value')})",
+        },
+        "EMAIL_ADDRESS": {
+            "clean": "value", "uppercase": "upper(value)", "spaced_at": "replace(value, '@', ' @ ')", "at_written": "replace(value, '@', ' at ')", "dot_written": "replace(value, '.', ' dot ')", "obfuscated": "replace(replace(value, '@', ' [at] '), '.', ' [dot] ')",
+            "typo": f"({sql.typo(local)}) || '@' || {domain}", "partial_masked": f"CASE WHEN length({local}) > 2 THEN left({local}, 1) || '***' || right({local}, 1) ELSE '***' END || '@' || {domain}",
+        },
+        "PHONE_NUMBER": {
+            "clean_indian": f"'+91 ' || {cut(1, 5, ten)} || ' ' || {cut(6, 5, ten)}", "no_country_code": ten, "dashed": f"concat_ws('-', {cut(1, 3, ten)}, {cut(4, 3, ten)}, {cut(7, 4, ten)})",
+            "parentheses": f"'(' || {cut(1, 3, ten)} || ') ' || {cut(4, 3, ten)} || '-' || {cut(7, 4, ten)}", "spaced_out": spread(ten), "partial_masked": f"'XXXXXX' || {cut(7, 4, ten)}", "ocr_corrupted": sql.misread("value", 15),
+        },
     }
     name = sql.cases("entity_type", {t: sql.weighted("augment", [(a[1], a[2]) for a in g.AUGMENTATIONS if a[0] == t]) for t in ways}, "'passthrough'")
     value = sql.cases("entity_type", {t: sql.cases("augmentation", w, "value") for t, w in ways.items()}, "value")
-    table_ = ", ".join(f"('{t}', '{n}', {lv}, {c})" for t, n, _, lv, c in g.AUGMENTATIONS)
-    return f"WITH {sql.SAMPLES}, n AS (SELECT *, {name} AS augmentation FROM s), k(entity_type, augmentation, noise_level, cents) AS (VALUES {table_}) SELECT id, entity_type, augmentation, {value} AS augmented, coalesce(noise_level, 0) AS noise_level, coalesce(cents, 95) AS cents FROM n LEFT JOIN k USING (entity_type, augmentation)"
+    return name, value
+
+
+AUGMENTED_WAY, AUGMENTED_VALUE = _augment_sql()
+_ways = ", ".join(f"('{t}', '{n}', {lv}, {c})" for t, n, _, lv, c in g.AUGMENTATIONS)
+_AUGMENTED = f"{sql.SAMPLES}, n AS (SELECT *, {AUGMENTED_WAY} AS augmentation FROM s), k(entity_type, augmentation, noise_level, cents) AS (VALUES {_ways}), au AS (SELECT id, entity_type, augmentation, {AUGMENTED_VALUE} AS augmented, coalesce(noise_level, 0) AS noise_level, coalesce(cents, 95) AS cents FROM n LEFT JOIN k USING (entity_type, augmentation))"
 
 
-@query("augment_values", _augment_sql())
+@query("augment_values", f"WITH {_AUGMENTED} SELECT * FROM au")
 def augment_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.augment(_samples(spark, sf_dir)).select("id", "entity_type", "augmentation", "augmented", "noise_level", "cents")
+    return g.augment(samples_of(spark, sf_dir)).select("id", "entity_type", "augmentation", "augmented", "noise_level", "cents")
 
 
 _table = ", ".join(f"({sql.quote(k)}, {sql.quote(v)})" for k, v in g.CONFUSED.items())
@@ -383,7 +411,7 @@ _char = sql.u("'o' || (i - 1)", raw=True), sql.u("'w' || (i - 1)", raw=True)
 p AS (SELECT id, i, CASE WHEN o IS NOT NULL AND {_char[0]} % 100 < 15 THEN substr(o, ({_char[1]} % length(o) + 1)::INT, 1) ELSE ch.c END AS c FROM ch LEFT JOIN k ON k.c = ch.c)
 SELECT id, coalesce(string_agg(c, '' ORDER BY i), '') AS augmented FROM s LEFT JOIN p USING (id) GROUP BY id""")
 def augment_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(spark, sf_dir).select("id", g.misread(F.col("id"), F.col("value"), 15).alias("augmented"))
+    return samples_of(spark, sf_dir).select("id", g.misread(F.col("id"), F.col("value"), 15).alias("augmented"))
 
 
 _kc = sql.u("'k' || (i - 1)", raw=True)
@@ -392,12 +420,12 @@ _kc = sql.u("'k' || (i - 1)", raw=True)
 @query("augment_case", f"""WITH {sql.SAMPLES}, p AS (SELECT id, string_agg(CASE WHEN {_kc} % 2 = 0 THEN upper(substr(value, i, 1)) ELSE lower(substr(value, i, 1)) END, '' ORDER BY i) AS mixed FROM s, unnest(range(1, length(value) + 1)) t(i) GROUP BY id)
 SELECT id, CASE {sql.below('case', 4)} WHEN 0 THEN upper(value) WHEN 1 THEN lower(value) WHEN 2 THEN coalesce(mixed, '') ELSE value END AS augmented FROM s LEFT JOIN p USING (id)""")
 def augment_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(spark, sf_dir).select("id", g.case_noise(F.col("id"), F.col("value")).alias("augmented"))
+    return samples_of(spark, sf_dir).select("id", g.case_noise(F.col("id"), F.col("value")).alias("augmented"))
 
 
-@query("augment_typo")
+@query("augment_typo", f"WITH {sql.SAMPLES} SELECT id, {sql.typo('value')} AS augmented FROM s")
 def augment_typo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _samples(spark, sf_dir).select("id", g.typos(F.col("id"), F.col("value"), 2).alias("augmented"))
+    return samples_of(spark, sf_dir).select("id", g.typos(F.col("id"), F.col("value"), F.lit(1)).alias("augmented"))
 
 
 # draws, splits, tiles
@@ -431,7 +459,7 @@ def batch_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dedup_unique", f"WITH {sql.SAMPLES} SELECT text, min(id) AS id FROM s GROUP BY text")
 def dedup_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.unique_texts(_samples(spark, sf_dir), "text", "id")
+    return sampling.unique_texts(samples_of(spark, sf_dir), "text", "id")
 
 
 @query("resume_antijoin", "SELECT DISTINCT o_custkey AS batch FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -453,16 +481,14 @@ def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples and near misses under one schema, each with its stratum and confidence."""
-    s = g.augment(_samples(spark, sf_dir))
+    s = g.augment(samples_of(spark, sf_dir))
     stratum = F.when(~F.col("flagged"), "negative").when(F.col("noise_level") == 0, "easy").when(F.col("noise_level") <= 2, "medium").when(F.col("noise_level") == 3, "hard").otherwise("adversarial")
     a = s.select("id", stratum.alias("stratum"), F.replace("text", F.when(F.col("value") == "", F.lit("\u0000")).otherwise(F.col("value")), F.col("augmented")).alias("text"), "flagged", "entity_type", F.when(F.col("flagged"), F.col("cents")).otherwise(95).alias("cents"))
-    kind, text = g.near_miss(F.col("id"))
-    b = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).select("id", F.lit("dangerous").alias("stratum"), text.alias("text"), F.lit(False).alias("flagged"), F.lit("NONE").alias("entity_type"), F.lit(90).alias("cents"))
+    b = _misses(spark, sf_dir).select("id", F.lit("dangerous").alias("stratum"), "text", F.lit(False).alias("flagged"), F.lit("NONE").alias("entity_type"), F.lit(90).alias("cents"))
     return a.unionByName(b)
 
 
-_aug = _augment_sql().removeprefix("WITH ").replace(") SELECT id, entity_type, augmentation,", "), au AS (SELECT id, entity_type, augmentation,", 1)
-_STRATA = f"""WITH {_aug}), {_MISSES}, z AS (
+_STRATA = f"""WITH {_AUGMENTED}, {_MISSES}, z AS (
 SELECT s.id, CASE WHEN NOT flagged THEN 'negative' WHEN noise_level = 0 THEN 'easy' WHEN noise_level <= 2 THEN 'medium' WHEN noise_level = 3 THEN 'hard' ELSE 'adversarial' END AS stratum, CASE WHEN value = '' THEN text ELSE replace(text, value, augmented) END AS text, flagged, s.entity_type, CASE WHEN flagged THEN cents ELSE 95 END AS cents FROM s JOIN au USING (id)
 UNION ALL SELECT w.id, 'dangerous', w.text, false, 'NONE', 90 FROM w)"""
 
@@ -490,7 +516,7 @@ def dist_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dist_entity_type", f"WITH {sql.SAMPLES}, {sql.ENTITIES} SELECT type, count(*) AS n FROM e GROUP BY type")
 def dist_entity_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect(_samples(spark, sf_dir)).select(F.explode("entities.type").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return detect(samples_of(spark, sf_dir)).select(F.explode("entities.type").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("metadata_zero_fill", f"{_STRATA}, kinds AS (SELECT unnest(['easy', 'medium', 'hard', 'adversarial', 'negative', 'dangerous', 'multi']) AS stratum) SELECT stratum, count(z.id) AS n FROM kinds LEFT JOIN z USING (stratum) GROUP BY stratum")
@@ -509,22 +535,26 @@ def uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
 _USER = """'Analyze for PII: "' || text || '"'"""
 
 
-@query("conversation_format", f"WITH {sql.SAMPLES} SELECT id, role, content FROM (SELECT id, 'system' AS role, 'Find it.' AS content FROM s UNION ALL SELECT id, 'user', {_USER} FROM s)")
+@query("conversation_format", f"""WITH {sql.SAMPLES} SELECT id, 0 AS turn, 'system' AS role, 'Find it.' AS content, NULL::BOOLEAN AS flagged, NULL AS type, NULL AS value, NULL::INT AS start FROM s UNION ALL SELECT id, 1, 'user', {_USER}, NULL, NULL, NULL, NULL FROM s
+UNION ALL SELECT id, 2, 'assistant', NULL, flagged, CASE WHEN flagged THEN entity_type END, CASE WHEN flagged THEN value END, start FROM s""")
 def conversation_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = g.override_prompt(g.conversation(_samples(spark, sf_dir)), "Find it.")
-    return c.select("id", F.explode("conversations").alias("m")).select("id", "m.role", "m.content").where("role <> 'assistant'")
+    """The assistant's content is JSON of no fixed layout; it is parsed."""
+    c = g.override_prompt(g.conversation(samples_of(spark, sf_dir)), "Find it.").select("id", F.posexplode("conversations").alias("turn", "m"))
+    label = F.when(F.col("turn") == 2, F.try_parse_json("m.content"))
+    get = lambda path, kind: F.try_variant_get("label", path, kind)
+    return c.withColumn("label", label).select("id", "turn", "m.role", F.when(F.col("turn") < 2, F.col("m.content")).alias("content"), get("$.flagged", "boolean").alias("flagged"), get("$.entities[0].type", "string").alias("type"), get("$.entities[0].value", "string").alias("value"), get("$.entities[0].start", "int").alias("start"))
 
 
 @query("unwrap_user_text", f"WITH {sql.SAMPLES} SELECT id, text FROM s")
 def unwrap_user_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.col("conversations")[1]["content"]
-    c = g.conversation(_samples(spark, sf_dir))
+    c = g.conversation(samples_of(spark, sf_dir))
     return c.where(user.rlike('Analyze for PII: "(.*)"')).select("id", F.regexp_extract(user, 'Analyze for PII: "(.*)"', 1).alias("text"))
 
 
 @query("dist_nested_json", f"WITH {sql.SAMPLES} SELECT count(*) AS n, count_if(flagged) AS flagged, count_if(entity_type = 'PERSON') AS persons FROM s".replace("count_if(flagged)", "count(*) FILTER (WHERE flagged)").replace("count_if(entity_type = 'PERSON')", "count(*) FILTER (WHERE entity_type = 'PERSON')"))
 def dist_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = g.conversation(_samples(spark, sf_dir)).select(F.try_parse_json(F.col("conversations")[2]["content"]).alias("v"))
+    c = g.conversation(samples_of(spark, sf_dir)).select(F.try_parse_json(F.col("conversations")[2]["content"]).alias("v"))
     return c.agg(F.count("*").alias("n"), F.count_if(F.try_variant_get("v", "$.flagged", "boolean")).alias("flagged"), F.count_if(F.try_variant_get("v", "$.entities[0].type", "string") == "PERSON").alias("persons"))
 
 
@@ -532,7 +562,7 @@ def dist_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = detect(_samples(spark, sf_dir))
+    s = detect(samples_of(spark, sf_dir))
     return s.select("id", F.col("entity_type").alias("category"), "text", F.when(F.pmod("id", F.lit(11)) != 0, F.size("entities") > 0).alias("predicted"), F.when(F.pmod("id", F.lit(7)) != 0, F.col("flagged")).alias("expected"))
 
 

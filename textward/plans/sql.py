@@ -43,6 +43,38 @@ def cases(on: str, values: dict[str, str], other: str) -> str:
     return f"CASE {on} " + " ".join(f"WHEN {quote(k)} THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
 
 
+def at(slot: str, i: str) -> str:
+    """A draw for each place, counted from 0; i counts from 1."""
+    return u(f"'{slot}' || ({i} - 1)", raw=True)
+
+
+def each(x: str, f: str, sep: str = "") -> str:
+    """f of each character's place i, joined."""
+    return f"array_to_string(list_transform(range(1, length({x}) + 1), lambda i: {f}), '{sep}')"
+
+
+def misread(x: str, percent: int) -> str:
+    c = f"substr({x}, i::INT, 1)"
+    others = cases(c, {k: quote(v) for k, v in g.CONFUSED.items()}, "NULL")
+    return each(x, f"CASE WHEN {at('o', 'i')} % 100 < {percent} AND {others} IS NOT NULL THEN substr({others}, ({at('w', 'i')} % length({others}) + 1)::INT, 1) ELSE {c} END")
+
+
+def mixed_case(x: str) -> str:
+    return each(x, f"CASE WHEN {at('k', 'i')} % 2 = 0 THEN upper(substr({x}, i::INT, 1)) ELSE lower(substr({x}, i::INT, 1)) END")
+
+
+def typo(x: str) -> str:
+    """One edit."""
+    p = f"({u('ta1')} % length({x}) + 1)::INT"
+    sub = lambda a, n="": f"substr({x}, {a}{n and ', ' + str(n)})"
+    one, left, right = sub(p, 1), f"left({x}, {p} - 1)", sub(f"{p} + 1")
+    beside = cases(f"lower({one})", {k: quote(v) for k, v in g.KEYS_NEAR.items()}, "NULL")
+    key = f"substr({beside}, ({u('tk1')} % length({beside}) + 1)::INT, 1)"
+    inserted = f"CASE WHEN {below('ti1', 2)} = 0 AND {p} > 1 THEN {sub(p + ' - 1', 1)} ELSE coalesce({key}, '') END"
+    return f"""CASE WHEN length({x}) < 2 THEN {x} ELSE CASE {below('tw1', 5)} WHEN 0 THEN {left} || {sub(p + ' + 1', 1)} || {one} || {sub(p + ' + 2')} WHEN 1 THEN {left} || {right}
+      WHEN 2 THEN {left} || {inserted} || {one} || {right} WHEN 3 THEN {left} || coalesce({key}, {one}) || {right} ELSE {left} || {one} || {one} || {right} END END"""
+
+
 VALUES = {
     "IN_AADHAAR": f"({below('a0', 8)} + 2) || {digits('a1', 3)} || ' ' || {digits('a2', 4)} || ' ' || {digits('a3', 4)}",
     "IN_PAN": f"{letter('p0')} || {letter('p1')} || {letter('p2')} || {letter('p3', 'PCHFATBLJG')} || {letter('p4')} || {digits('p5', 4)} || {letter('p6')}",
