@@ -39,6 +39,17 @@ def test_byte_bpe_equals_tiktoken(spark):
     assert byte_bpe.round_trip(table(spark, []), RANKS, P.PATTERN).count() == 0
 
 
+def test_very_long_words_equal_tiktoken():
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder, rng = byte_bpe.Coder(RANKS, P.PATTERN), random.Random(1)
+    texts = ["".join(rng.choices(of, k=n)) for of, n in (("acgt", 3_000), ("ab", 5_000), ("a", 7_001), ("aab", 4_000), ("thequickandofin", 20_000), ("éüñaeiou", 3_000), ("abcdefghijklmnopqrstuvwxyz", 100_000))] + ["the" * 3000, "!?" * 2500, "=" * 9_999]
+    assert coder.encode(texts).to_pylist() == [enc.encode_ordinary(t) for t in texts]
+
+
 def test_levenshtein_automaton_equals_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))

@@ -57,6 +57,18 @@ WITH RECURSIVE bpe AS (SELECT w, pos, id, npos, nid, 0 AS round FROM ({seed}) UN
 last AS (SELECT w, max(round) AS round FROM bpe GROUP BY w)
 SELECT bpe.* FROM bpe JOIN last USING (w, round)
 """
+#: One round of one long word: all pairs at once that are of least rank among the pairs around them, as far as a token reaches that might take one of
+#: their parts before their turn ({reach} bytes, the longest token in the word). A token that could make a pair of lower rank with a neighbour is contracted where it is the
+#: leftmost of its rank around; others wherever they are, every other one of a run of overlapping ones. The result is that of contracting one pair after another.
+_LONG_ROUND = """
+WITH pair AS (SELECT pos, npos, c, min(c) OVER (ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND 2 * {reach} FOLLOWING) AS low, min(c) OVER (ORDER BY pos RANGE BETWEEN {reach} PRECEDING AND 1 PRECEDING) AS low_before,
+      coalesce(lag(c) OVER (ORDER BY pos) = c AND lag(npos) OVER (ORDER BY pos) = pos, false) AS goes_on FROM bpe JOIN merges ON a = id AND b = nid WHERE round < {rounds}),
+run AS (SELECT *, sum((NOT goes_on)::INT) OVER (ORDER BY pos) AS g FROM pair),
+turn AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pos) AS k, bool_and(c = low) OVER (PARTITION BY g) AS whole FROM run),
+take AS (SELECT pos, npos, c FROM turn WHERE c = low AND CASE WHEN c IN (SELECT x FROM unsafe) THEN coalesce(low_before > c, true) ELSE whole AND k % 2 = 1 END),
+stay AS (SELECT r.pos, coalesce(take.c, r.id) AS id, r.round + 1 AS round FROM bpe r LEFT JOIN take ON take.pos = r.pos WHERE r.pos NOT IN (SELECT npos FROM take) AND EXISTS (SELECT 1 FROM take))
+SELECT 0 AS w, pos, id, lead(pos) OVER (ORDER BY pos) AS npos, lead(id) OVER (ORDER BY pos) AS nid, round FROM stay
+"""
 _WORDS = f"""
 SELECT w, list(id) AS ids FROM (SELECT w, id FROM ({_ENCODE.format(seed=_SEED, round=_ROUND.format(rows="bpe", rounds=10**9))}) ORDER BY w, pos) GROUP BY w
 UNION ALL
@@ -83,6 +95,7 @@ class Coder:
         db.execute("""CREATE TABLE merges AS SELECT l.id AS a, r.id AS b, v.id AS c
             FROM (SELECT id, tok, unnest(range(1, length(tok))) AS k FROM vocab WHERE length(tok) > 1) v
             JOIN vocab l ON l.tok = left(v.tok, v.k) JOIN vocab r ON r.tok = substr(v.tok, v.k + 1)""")
+        db.execute("CREATE TABLE unsafe AS SELECT DISTINCT x FROM (SELECT a AS x, c FROM merges UNION ALL SELECT b, c FROM merges) WHERE c < x")
         db.execute("CREATE TABLE by_id AS SELECT list(tok ORDER BY i) AS toks FROM (SELECT unnest(range(0, max(id) + 1)) AS i FROM vocab) LEFT JOIN vocab ON id = i")
 
     def split(self, text: str) -> list[str]:
@@ -119,9 +132,10 @@ class Coder:
         db = self.db
         db.register("words", pa.table({"w": pa.array([0], pa.int32()), "tok": [raw.decode("latin-1")]}))
         rounds = max(1, 3_000_000 // len(raw))
+        reach = db.execute("SELECT max(length(vocab.tok)) FROM vocab, words WHERE contains(words.tok, vocab.tok)").fetchall()[0][0]
         db.execute(f"CREATE OR REPLACE TEMP TABLE now AS {_SEED}")
         while True:
-            step = _ENCODE.format(seed="SELECT * FROM now", round=_ROUND.format(rows="bpe", rounds=rounds))
+            step = _ENCODE.format(seed="SELECT * FROM now", round=_LONG_ROUND.format(rounds=rounds, reach=reach))
             db.execute(f"CREATE OR REPLACE TEMP TABLE nxt AS {step}")
             more = db.execute("SELECT count(*) FROM nxt WHERE round = ?", [rounds]).fetchall()[0][0]
             db.execute("CREATE OR REPLACE TEMP TABLE now AS SELECT w, pos, id, npos, nid FROM nxt")
