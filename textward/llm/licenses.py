@@ -21,6 +21,7 @@ that is learned from the templates alone; other columns don't matter.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
@@ -29,6 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textward.functions.rows import fixed
 from textward.llm._shared import cut
 
 #: Short statements of the families; fixed values.
@@ -69,7 +71,7 @@ NAMED = frozenset("apache bsd cc creative commons gnu gpl mit mozilla mpl propri
 #: Pairs of words that say nothing.
 COMMON = frozenset(("of the", "to any", "is the", "and use", "in source", "use in", "with or", "you can", "work is", "this work", "subject to", "is subject", "it under", "a copy", "of this", "under a", "is a", "by the", "under the", "to the", "is not", "in the"))
 UNKNOWN = "unknown"
-TEMPERATURES = tuple(0.25 * 1.15**k for k in range(25))
+TEMPERATURES = tuple(0.25 * 1.25**k for k in range(14))
 
 
 def _bind(value: Column, f) -> Column:
@@ -92,8 +94,13 @@ def vocabulary() -> list[str]:
     return sorted({g for t in (*(t for ts in (*TEMPLATES.values(), *NAMES.values()) for t in ts), *UNLISTED, *UNLISTED_NAMES) for g in grams(t)})
 
 
-def _strings(xs) -> Column:
-    return F.array(*(F.lit(x) for x in xs)) if xs else F.array().cast("array<string>")
+def _constant(value, kind: str) -> Column:
+    """A value as one literal of a type, which the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _strings(xs: list[str]) -> Column:
+    return _constant(list(xs), "array<string>")
 
 
 def found(low: Column, vocab: list[str]) -> Column:
@@ -124,12 +131,12 @@ def training_rows(docs: DataFrame, sample_rows: int, vocab: list[str]) -> DataFr
     for family, names in [*NAMES.items(), (UNKNOWN, UNLISTED_NAMES)]:
         shown += [(family, " ".join((around[k % 6], frame.format(name), around[(k + n) % 6]))) for n, name in enumerate(names) for k, frame in enumerate(FRAMES)]
     part = F.pmod(F.xxhash64("text"), F.lit(3)).alias("part")
-    own = spark.createDataFrame(shown, "family string, text string").distinct().select("family", part, found(words(F.col("text")), vocab).alias("grams"))
+    own = spark.createDataFrame(shown, "family string, text string").distinct().select("family", part, _bind(words(F.col("text")), lambda low: found(low, vocab)).alias("grams"))
     total = max(docs.count(), 1)
     sampled = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(1_000_000)) < int(min(1.0, sample_rows / total) * 1_000_000))
-    theirs = sampled.select("doc_id", F.explode(_paragraphs(F.col("text").cast("string"))).alias("text")).select("doc_id", part, found(words(F.col("text")), vocab).alias("grams")).where(F.size("grams") > 0)
-    confirmed = F.exists(_strings(list(TEMPLATES)), lambda f: _confirmed(f, F.col("grams")))
-    return own.unionByName(theirs.where(~confirmed).dropDuplicates(["doc_id", "grams"]).select(F.lit(UNKNOWN).alias("family"), "part", "grams"))
+    theirs = sampled.select("doc_id", F.explode(_paragraphs(F.col("text").cast("string"))).alias("text"))
+    theirs = fixed(theirs, grams=_bind(words(F.col("text")), lambda low: found(low, vocab))).where(F.size("grams") > 0).select("doc_id", part, "grams")
+    return own.unionByName(theirs.where(~_confirmed(F.col("grams"))).dropDuplicates(["doc_id", "grams"]).select(F.lit(UNKNOWN).alias("family"), "part", "grams"))
 
 
 def learn(docs: DataFrame, sample_rows: int = 2_000, threshold: float = 0.5) -> Model:
@@ -157,14 +164,12 @@ def _softmax(z: Column) -> Column:
     return _bind(z, lambda zs: _bind(e(zs), lambda es: F.transform(es, lambda x: x / F.aggregate(es, F.lit(0.0), lambda a, b: a + b))))
 
 
-def _confirmed(family: Column, held: Column) -> Column:
-    """Whether the n-grams held are at least half of those of one of the family's templates, and one of them names the family, if any of the template's does."""
-    out = F.lit(False)
-    for f, statements in TEMPLATES.items():
-        each = F.array(*(F.struct(_strings(g := grams(t)).alias("all"), _strings([x for x in g if not NAMED.isdisjoint(x.split())]).alias("naming")) for t in statements))
-        close = F.exists(each, lambda t: (F.size(F.array_intersect(t["all"], held)) * 2 >= F.size(t["all"])) & ((F.size(t["naming"]) == 0) | F.arrays_overlap(t["naming"], held)))
-        out = F.when(family == f, close).otherwise(out)
-    return out
+def _confirmed(held: Column, family: Column | None = None) -> Column:
+    """Whether the n-grams held are at least half of those of one of the (family's) templates, and one of them names the family, if any of the template's does."""
+    each = [(f, g, [x for x in g if not NAMED.isdisjoint(x.split())]) for f, ts in TEMPLATES.items() for g in map(grams, ts)]
+    known = _constant([{"family": f, "all": g, "naming": naming} for f, g, naming in each], "array<struct<family:string,all:array<string>,naming:array<string>>>")
+    close = lambda t: (F.size(F.array_intersect(t["all"], held)) * 2 >= F.size(t["all"])) & ((F.size(t["naming"]) == 0) | F.arrays_overlap(t["naming"], held))
+    return F.exists(known, close if family is None else lambda t: (t["family"] == family) & close(t))
 
 
 def _paragraphs(text: Column) -> Column:
@@ -177,10 +182,10 @@ _FOUND = "array<struct<paragraph:int,family:string,probability:double,confirmed:
 
 def scan(text: Column, model: Model) -> Column:
     """An array of (paragraph, family, probability, confirmed, text), one for each line or paragraph that is not unknown."""
-    vocab = F.array(*(F.struct(F.lit(g).alias("g"), F.array(*(F.lit(x) for x in w)).alias("w")) for g, w in model.weights.items()))
+    vocab = _constant([{"g": g, "w": w} for g, w in model.weights.items()], "array<struct<g:string,w:array<double>>>")
     # an n-gram that holds another one needs no search of its own
     short = _strings([g[1:-1] for g in model.weights if not any(o != g and o[1:-1] in g for o in model.weights)])
-    families, intercepts = _strings(model.families), F.array(*(F.lit(x) for x in model.intercepts))
+    families, intercepts = _strings(model.families), _constant(model.intercepts, "array<double>")
     any_of = lambda low: F.exists(short, lambda g: low.contains(g))
 
     def judged(m: Column, t: Column, i: Column) -> Column:
@@ -188,7 +193,7 @@ def scan(text: Column, model: Model) -> Column:
         z = F.aggregate(m, intercepts, lambda acc, g: F.zip_with(acc, g["w"], lambda a, b: a + b))
         best = lambda p: F.array_position(p, F.array_max(p)).cast("int")
         named = lambda p: F.struct(i.alias("paragraph"), F.element_at(families, best(p)).alias("family"), F.array_max(p).alias("probability"))
-        full = lambda x: F.struct(x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), _confirmed(x["family"], m["g"]).alias("confirmed"), t.alias("text"))
+        full = lambda x: F.struct(x["paragraph"].alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), _confirmed(m["g"], x["family"]).alias("confirmed"), t.alias("text"))
         return _bind(_bind(_softmax(z), named), full)
 
     one = lambda t, i: _bind(_bind(words(t), lambda low: F.filter(vocab, lambda g: low.contains(g["g"]))), lambda m: judged(m, t, i))
