@@ -21,7 +21,9 @@ def read_checkpoint(spark: SparkSession, path: str, schema: StructType | str) ->
     """Rows of finished batches, none if the checkpoint isn't there yet."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
