@@ -265,8 +265,10 @@ class Index:
             for batch in batches:
                 of = batch.column(0).to_numpy()
                 s = np.einsum("ij,ij->i", q[np.searchsorted(names, of)], _matrix(batch.column(2), np.float32, dim))
-                of, w, s, seen = _best(of, batch.column(1).to_numpy(), s, EF)
-                yield pa.RecordBatch.from_arrays(_lists(of, w, s, seen), ["query_id", "w", "s", "seen"])
+                # one row for each pair, however batches fall
+                ends = pa.array(np.arange(len(of) + 1, dtype=np.int32))
+                one = lambda values: pa.ListArray.from_arrays(ends, values)
+                yield pa.RecordBatch.from_arrays([batch.column(0), one(batch.column(1)), one(pa.array(s, pa.float32())), one(pa.array(np.zeros(len(of), bool)))], ["query_id", "w", "s", "seen"])
 
         def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for of, w, s, seen in _groups(batches, 0):
