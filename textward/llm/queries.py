@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import ann, byte_bpe, chat, decontaminate, html_text, licenses, repair_ids, shards, shingle_join, toxicity
+from textward.llm import ann, byte_bpe, chat, decontaminate, html_text, licenses, piece_bpe, repair_ids, shards, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,6 +83,10 @@ def op10_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(*chat.tool_messages(_table(spark, sf_dir, "conversations")), chat.TOOLS)
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 ORACLE["op10_chat_tools"] = chat.SQL
 ORACLE["op4_extendible_shards"] = shards.SQL.format(limit=SHARD_BYTES)
 ORACLE["op5_decontaminate"] = r"""
@@ -96,4 +100,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_extendible_shards, op5_decontaminate, op6_nn_descent, op7_html_text, op8_shingle_join, op9_repair_ids, op10_chat_tools)}
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_extendible_shards, op5_decontaminate, op6_nn_descent, op7_html_text, op8_shingle_join, op9_repair_ids, op10_chat_tools, op11_piece_bpe)}
