@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textward.llm import ann, byte_bpe, chat, decontaminate, html_text, licenses, piece_bpe, repair_ids, repair_turns, shards, shingle_join, toxicity
+from textward.llm import ann, byte_bpe, chat, decontaminate, html_text, lexical, licenses, piece_bpe, repair_ids, repair_turns, shards, shingle_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +91,11 @@ def op12_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_turns.repair_damaged(_table(spark, sf_dir, "conversations"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op13_lexical_search"] = lexical.SQL
 ORACLE["op12_repair_turns"] = repair_turns.SQL
 ORACLE["op10_chat_tools"] = chat.SQL
 ORACLE["op4_extendible_shards"] = shards.SQL.format(limit=SHARD_BYTES)
@@ -105,4 +110,4 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_extendible_shards, op5_decontaminate, op6_nn_descent, op7_html_text, op8_shingle_join, op9_repair_ids, op10_chat_tools, op11_piece_bpe, op12_repair_turns)}
+QUERIES |= {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_licenses, op4_extendible_shards, op5_decontaminate, op6_nn_descent, op7_html_text, op8_shingle_join, op9_repair_ids, op10_chat_tools, op11_piece_bpe, op12_repair_turns, op13_lexical_search)}
