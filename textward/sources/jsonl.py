@@ -27,6 +27,6 @@ def read_checkpoint(spark: SparkSession, path: str, schema: StructType | str) ->
         return spark.createDataFrame([], schema)
 
 
-def append_checkpoint(df: DataFrame, path: str) -> None:
-    """Rows of another batch (a column batch_id), beside the earlier ones."""
-    df.write.mode("append").partitionBy("batch_id").parquet(path)
+def append_checkpoint(df: DataFrame, path: str, by: tuple[str, ...] = ("batch_id",)) -> None:
+    """Rows of further batches beside the earlier ones. What is written of a value of `by` replaces what was there of it, so that a batch that is tried again is there once; take a column of few values, such as the run."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
