@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textward.functions.rng import pick
+from textward.operators import inference, rules
 from textward.operators import model_samples as ms
 from textward.plans import sql
 from textward.plans.catalog import query
@@ -99,3 +98,28 @@ def model_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
         jsonl.append_checkpoint(answers.select("kind", "batch", listed.alias("contexts"), F.lit(run).alias("run")), path, ("run",))
     found = jsonl.read_checkpoint(spark, path, BATCHES).select("kind", "batch", F.posexplode("contexts").alias("place", "context"))
     return ms.samples(found.select(F.concat_ws(":", "kind", "batch", "place").alias("id"), "kind", "batch", "context"))
+
+
+# inference
+
+QUICK = " OR ".join(f"regexp_matches(text, {sql.quote(p)})" for p in rules.QUICK)
+_found = sql.quote(inference.OfflineModel.PATTERN.pattern)
+
+
+@query("model_inference", f"""WITH {sql.DOCS}, {sql.ENTITIES}, {sql.DECISIONS}, q AS (SELECT id, text, coalesce({QUICK}, false) AS hit, length(text) % 7 = 0 AS fails, regexp_matches(text, {_found}) AS mail FROM s)
+SELECT q.id, CASE WHEN NOT hit THEN 'scan' WHEN fails THEN 'patterns' ELSE 'model' END AS source, CASE WHEN NOT hit THEN 0 WHEN fails THEN n ELSE mail::INT END::INT AS n_entities,
+  CASE WHEN NOT hit THEN 1.0 WHEN fails THEN CASE WHEN n = 0 THEN 1.0 ELSE round(total / (n * 100), 6) END ELSE 0.9 END::DOUBLE AS doc_confidence, (hit AND NOT fails AND NOT mail AND length(q.text) % 2 = 1)::INT AS dropped FROM q JOIN x USING (id)""")
+def model_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return inference.screen_with_model(docs, "textward.operators.inference:OfflineModel").select("id", "source", "n_entities", "doc_confidence", "dropped")
+
+
+@query("hallucination_total", f"""WITH q AS (SELECT text, coalesce({QUICK}, false) AS hit, length(text) % 7 = 0 AS fails, regexp_matches(text, {_found}) AS mail FROM documents)
+SELECT count(*) FILTER (WHERE hit AND NOT fails) AS answered, count(*) FILTER (WHERE hit AND fails) AS unanswered, count(*) FILTER (WHERE hit AND NOT fails AND NOT mail AND length(text) % 2 = 1) AS dropped FROM q""")
+def hallucination_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all answers: how many entities were not in their texts."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents").select("text")
+    found = inference.screen_with_model(docs, "textward.operators.inference:OfflineModel")
+    return found.agg(F.count_if(F.col("source") == "model").alias("answered"), F.count_if(F.col("source") == "patterns").alias("unanswered"), F.sum("dropped").alias("dropped"))
