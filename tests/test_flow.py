@@ -39,3 +39,36 @@ def test_metrics_with_unknowns(spark):
     assert ev.confusion(df).first().asDict() == {"tp": 1, "fp": 1, "tn": 1, "fn": 1, "parse_errors": 1, "uncertain": 1}
     assert {r.category: (r.passed, r.failed, r.total) for r in ev.by_category(df).collect()} == {"a": (1, 2, 3), "b": (2, 0, 3)}
     assert ev.scores(ev.confusion(df.limit(0))).first().f1 == 0
+
+
+def _land(spark, folder, rows):
+    spark.createDataFrame(rows, "trace_id long, ts string, text string").selectExpr("trace_id", "to_timestamp(ts) AS ts", "text").coalesce(1).write.mode("append").parquet(folder)
+
+
+def _split(spark, tmp_path, sinks=None):
+    stream = spark.readStream.schema("trace_id long, ts timestamp, text string").parquet(str(tmp_path / "in"))
+    q = screen.start_split(stream, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    read = lambda name, schema: sorted(tuple(r)[:2] for r in jsonl.read_checkpoint(spark, str(tmp_path / name), schema).collect())
+    return read("good", "trace_id long, action string"), read("bad", "trace_id long, n_points int")
+
+
+def test_a_stream_takes_each_trace_once_over_restarts(spark, tmp_path, monkeypatch):
+    _land(spark, str(tmp_path / "in"), [(1, "2024-01-01 10:00:00", "SSN 123-45-6789"), (1, "2024-01-01 10:01:00", "SSN 123-45-6789"), (2, "2024-01-01 10:02:00", ""), (3, "2024-01-01 10:03:00", None)])
+    good, bad = _split(spark, tmp_path)
+    assert good == [(1, "BLOCK")] and bad == [(2, 0), (3, 0)]
+    _land(spark, str(tmp_path / "in"), [(1, "2024-01-01 10:30:00", "SSN 123-45-6789"), (4, "2024-01-01 10:31:00", "plain"), (5, "2024-01-01 10:32:00", "x" * 10_001)])
+    real, calls = screen.append_checkpoint, []
+
+    def breaks(df, path, by):
+        real(df, path, by)
+        calls.append(path)
+        if len(calls) == 1:
+            raise OSError("the driver is lost between the sinks")
+
+    monkeypatch.setattr(screen, "append_checkpoint", breaks)
+    with pytest.raises(Exception, match="lost between the sinks"):
+        _split(spark, tmp_path)
+    good, bad = _split(spark, tmp_path)
+    assert good == [(1, "BLOCK"), (4, "ALLOW")] and bad == [(2, 0), (3, 0), (5, 10_001)]
+    assert _split(spark, tmp_path) == (good, bad)
