@@ -50,7 +50,11 @@ def multi(keys: DataFrame, key_col: str) -> DataFrame:
     """(id, level, text, entities, cents): a template's placeholders are replaced one after another by values, which are written less plainly but at level none;
     then the text as a whole gets other cases (medium) or a typo (heavy) by chance. Entities are looked for in what comes out: those that no longer occur are left out, the others stand by
     their first place, in the order of starts. cents is the least of the values' confidences, and 50 without a value."""
-    df = fixed(keys.select(F.col(key_col).alias("id")), template=pick(F.col("id"), "multi", MULTI), level=pick(F.col("id"), "mlevel", LEVELS))
+    return fill(fixed(keys.select(F.col(key_col).alias("id")), template=pick(F.col("id"), "multi", MULTI), level=pick(F.col("id"), "mlevel", LEVELS)))
+
+
+def fill(df: DataFrame) -> DataFrame:
+    """(id, level, text, entities, cents) of (id, template, level), as multi() says; a template has three placeholders at most."""
     kinds = F.regexp_extract_all("template", F.lit(r"\{([A-Z_]+)\}"), F.lit(1))
     each = df.select(F.col("id").alias("of"), "level", F.posexplode(kinds).alias("pos", "entity_type"))
     each = fixed(each.withColumn("id", F.concat_ws(":", "of", "pos")), value=g.by_type(F.col("entity_type"), lambda t: g.value_of(t, F.col("id"))))

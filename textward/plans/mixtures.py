@@ -15,14 +15,15 @@ from textward.session import table
 _TABLE = ", ".join(f"('{t}', '{n}', {c})" for t, n, _, _, c in g.AUGMENTATIONS)
 _case = f"CASE {sql.below('case', 4)} WHEN 0 THEN upper(filled) WHEN 1 THEN lower(filled) WHEN 2 THEN {sql.mixed_case('filled')} ELSE filled END"
 _put = lambda k, t: f"CASE WHEN len(vs) >= {k} THEN left({t}, strpos({t}, '{{' || ts[{k}] || '}}') - 1) || vs[{k}] || substr({t}, strpos({t}, '{{' || ts[{k}] || '}}') + length(ts[{k}]) + 2) ELSE {t} END AS filled"
-_MULTI = f"""WITH k AS (SELECT c_custkey AS id, {sql.pick('multi', mx.MULTI, 'c_custkey')} AS template, {sql.pick('mlevel', mx.LEVELS, 'c_custkey')} AS level FROM customer),
-p AS (SELECT id AS of_, level, (i - 1)::INT AS pos, ph[i] AS entity_type, id || ':' || (i - 1) AS id FROM (SELECT *, regexp_extract_all(template, '\\{{([A-Z_]+)\\}}', 1) AS ph FROM k), unnest(range(1, len(ph) + 1)) t(i)),
+#: CTEs from k (id, template, level) to x, the texts, and e, the entities in them.
+FILL = f"""p AS (SELECT id AS of_, level, (i - 1)::INT AS pos, ph[i] AS entity_type, id || ':' || (i - 1) AS id FROM (SELECT *, regexp_extract_all(template, '\\{{([A-Z_]+)\\}}', 1) AS ph FROM k), unnest(range(1, len(ph) + 1)) t(i)),
 s AS (SELECT *, {sql.cases('entity_type', sql.VALUES, "''")} AS value FROM p), n AS (SELECT *, {AUGMENTED_WAY} AS augmentation FROM s), c(entity_type, augmentation, cents) AS (VALUES {_TABLE}),
 a AS (SELECT of_, pos, entity_type, CASE WHEN level = 'none' THEN value ELSE {AUGMENTED_VALUE} END AS value, CASE WHEN level = 'none' THEN 95 ELSE coalesce(cents, 95) END AS cents FROM n LEFT JOIN c USING (entity_type, augmentation)),
 f0 AS (SELECT k.id, k.level, k.template AS filled, list(value ORDER BY pos) FILTER (WHERE of_ IS NOT NULL) AS vs, list(entity_type ORDER BY pos) FILTER (WHERE of_ IS NOT NULL) AS ts, coalesce(min(cents), 50) AS cents FROM k LEFT JOIN a ON of_ = k.id GROUP BY k.id, k.level, k.template),
 f1 AS (SELECT * REPLACE ({_put(1, 'filled').removesuffix(' AS filled')} AS filled) FROM f0), f2 AS (SELECT * REPLACE ({_put(2, 'filled').removesuffix(' AS filled')} AS filled) FROM f1), f3 AS (SELECT * REPLACE ({_put(3, 'filled').removesuffix(' AS filled')} AS filled) FROM f2),
 x AS (SELECT *, CASE WHEN level = 'medium' AND {sql.below('over', 100)} < {mx.CASE_CHANCE} THEN {_case} WHEN level = 'heavy' AND {sql.below('over', 100)} < {mx.TYPO_CHANCE} THEN {sql.typo('filled')} ELSE filled END AS text FROM f3),
 e AS (SELECT id, i, ts[i] AS type, vs[i] AS value, (strpos(text, vs[i]) - 1)::INT AS start FROM x, unnest(range(1, len(vs) + 1)) t(i) WHERE contains(text, vs[i]))"""
+_MULTI = f"WITH k AS (SELECT c_custkey AS id, {sql.pick('multi', mx.MULTI, 'c_custkey')} AS template, {sql.pick('mlevel', mx.LEVELS, 'c_custkey')} AS level FROM customer),\n{FILL}"
 
 
 def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
