@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from textward.functions.rows import fixed
 from textward.functions.spans import first_place
 from textward.operators import generate as g
 from textward.operators.sampling import exact_split
+from textward.sources.jsonl import append_checkpoint, read_checkpoint
 
 #: Texts of several entities; a type may stand twice.
 MULTI = [
@@ -25,19 +28,18 @@ STATIC = [
     "The meeting is at noon", "Your parcel has left the depot", "Version two is ready", "Please close the window", "The lift is out of order", "Lunch is served on the terrace",
     "The team won its third game", "Rain is expected at the coast", "The library opens at nine", "All seats are taken", "The bridge is closed for repair", "New shelves arrive next week",
 ]
-_DAYS, _CITIES, _KINDS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday"), ("Mumbai", "Delhi", "Chennai", "Oslo", "Lima"), ("daily", "weekly", "monthly")
+_PLANTS, _ROOMS, _TOOLS = ("roses", "ferns", "tulips", "olive trees", "beans"), ("attic", "cellar", "kitchen", "workshop"), ("lathe", "kiln", "loom", "press", "saw")
 DYNAMIC = [
-    ("Plan {} enters phase {}.", (("Cedar", "Maple", "Birch", "Aspen"), (1, 4, 1))), ("The {} answered within {} ms.", (("cache", "queue", "gateway", "index"), (10, 500, 1))), ("Build {} ended {}.", ((1000, 9999, 4), ("well", "with warnings"))),
-    ("Rollout to {} is over.", (("staging", "production", "testing"),)), ("The {} summary is out.", (_KINDS,)), ("We meet on {} at {}:{}.", (_DAYS, (9, 17, 1), ("00", "30"))), ("Ticket {} was {}.", ((100, 9999, 1), ("closed", "reviewed", "assigned"))),
-    ("Notes of sprint {} are online.", ((1, 50, 1),)), ("Release {}.{}.{} is out.", ((1, 10, 1), (0, 9, 1), (0, 99, 1))), ("The {} suite covers {} percent.", (("unit", "browser", "load"), (90, 100, 1))), ("It is {} in {} today.", (("sunny", "cloudy", "wet"), _CITIES)),
-    ("Traffic in {} is {}.", (_CITIES, ("light", "dense"))), ("The {} is due at {}:{}.", (("train", "bus", "ferry"), (1, 12, 1), ("00", "15", "45"))), ("Shares moved {} by {}.{} percent.", (("up", "down"), (0, 4, 1), (0, 99, 2))), ("The {} income was {} million.", (_KINDS, (10, 500, 1))),
-    ("It is {} degrees with {} percent humidity.", ((15, 40, 1), (30, 90, 1))), ("The {} got {}.{} stars.", (("book", "film", "album"), (3, 4, 1), (0, 9, 1))), ("About {} {} people live in {}.", ((1, 50, 1), ("million", "thousand"), _CITIES)), ("Batch {}", ((1_000_000_000, 4_000_000_000, 10),)),
-    ("Session {}-{}-{}", ((10_000, 99_999, 5),) * 3), ("Trace {}{}", ((100_000, 999_999, 6),) * 2), ("Request {}", ((1_000_000, 9_999_999, 7),)), ("Log of {}-{}-{}T{}:{}Z", ((2020, 2026, 4), (1, 12, 2), (1, 28, 2), (0, 23, 2), (0, 59, 2))), ("Hash {}", ((0, 99_999_999, 8),)),
-    ("Segment {}-{}", ((1000, 9999, 4),) * 2), ("Container {}{}", (("abc", "qrs", "xyz"), (10_000, 99_999, 5))), ("Pod {}-{}", (("web", "api", "job"), (1_000_000, 9_999_999, 7))), ("Instance i-{}", ((10_000_000, 99_999_999, 8),)),
+    ("Crate {} holds {} jars", ((100_000_000, 999_999_999, 9), (6, 48, 1))), ("We watered {} rows of {}.", ((2, 80, 1), _PLANTS)), ("Shelf {}-{} is in the {}", ((10, 99, 2), (1000, 9999, 4), _ROOMS)), ("The {} needs {} drops of oil.", (_TOOLS, (3, 250, 1))),
+    ("Parcel code {}/{}", ((10_000, 99_999, 5), (10_000, 99_999, 5))), ("Row {} of the {} bed is bare.", ((1, 60, 1), _PLANTS)), ("Seal {}.{}.{} is unbroken", ((0, 999, 3),) * 3), ("A {} and a {} were lent out.", (_TOOLS, _TOOLS)),
+    ("Lot {} of {} was sorted", ((1_000_000, 9_999_999, 7), _PLANTS)), ("It took {} hours and {} minutes.", ((1, 30, 1), (0, 59, 2))), ("Drawer {} is stuck.", ((1, 400, 1),)), ("The {} was painted {}.", (_ROOMS, ("white", "green", "ochre", "blue"))),
+    ("Meter reads {}", ((1_000_000_000, 3_999_999_999, 10),)), ("Page {} line {} has a misprint.", ((1, 900, 1), (1, 40, 1))), ("Key {}{} hangs by the door", (("red", "blue", "grey"), (100_000, 999_999, 6))), ("Clock {} runs {} seconds late.", ((1, 70, 1), (1, 90, 1))),
+    ("Roll {}x{}x{} was cut", ((10, 999, 1),) * 3), ("Stone {} weighs {} grams.", ((1, 5000, 1), (20, 9000, 1))), ("Half of the {} came up {}.", (_PLANTS, ("early", "late", "crooked"))), ("Stamp no. {} is missing", ((10_000_000, 89_999_999, 8),)),
 ]
 #: Shares in 100 of negatives as they are, made of words, and varied.
 SOURCES = [("static", 40), ("dynamic", 30), ("varied", 30)]
-ATTEMPTS = 3
+#: Draws of a text in each round of claims: a hundred for a negative, fifty for a positive.
+NEGATIVE_ROUNDS, POSITIVE_ROUNDS = (1, 2, 4, 8, 16, 32, 37), (1, 2, 4, 8, 16, 19)
 
 
 def replace_first(text: Column, what: Column, by: Column) -> Column:
@@ -83,12 +85,13 @@ def _slot(number: Column, slot: tuple) -> Column:
     return F.lpad(text, digits, "0") if least < 10 ** (digits - 1) else text
 
 
-def negatives(keys: DataFrame, key_col: str, attempt: int = 0) -> DataFrame:
-    """(id, source, text): a text without personal data from one of the SOURCES, all of it drawn anew for each attempt."""
-    slot = lambda name: f"{name}{attempt}"
-    key = F.col("id")
-    drawn = keys.select(F.col(key_col).alias("id"))
-    drawn = fixed(drawn, _source=below(key, slot("source"), 100), _static=pick(key, slot("static"), STATIC), _which=below(key, slot("which"), len(DYNAMIC)), **{f"_n{j}": u32(key, slot(f"n{j}")) for j in range(5)})
+def negatives(keys: DataFrame, key_col: str) -> DataFrame:
+    """(id, attempt, source, text): a text without personal data from one of the SOURCES. It follows from the key and from the column attempt, which is 0 where there is none."""
+    key, attempt = F.col("id"), F.col("attempt")
+    slot = lambda name: F.concat(F.lit(name), attempt)
+    drawn = keys.select(F.col(key_col).alias("id"), (F.col("attempt") if "attempt" in keys.columns else F.lit(0)).alias("attempt"))
+    static = F.element_at(F.array(*(F.lit(t) for t in STATIC)), (F.pmod(u32(key, slot("static")), F.lit(len(STATIC))) + 1).cast("int"))
+    drawn = fixed(drawn, _source=F.pmod(u32(key, slot("source")), F.lit(100)), _static=static, _which=F.pmod(u32(key, slot("which")), F.lit(len(DYNAMIC))), **{f"_n{j}": u32(key, slot(f"n{j}")) for j in range(3)})
     made = F.lit("")
     for k, (text, slots) in enumerate(DYNAMIC):
         pieces = text.split("{}")
@@ -96,22 +99,72 @@ def negatives(keys: DataFrame, key_col: str, attempt: int = 0) -> DataFrame:
         made = F.when(F.col("_which") == k, F.concat(*(x for pair in zip(map(F.lit, pieces), [*filled, F.lit("")], strict=True) for x in pair))).otherwise(made)
     source = F.when(F.col("_source") < 40, "static").when(F.col("_source") < 70, "dynamic").otherwise("varied")
     drawn = fixed(drawn, source=source, _made=made)
-    text = F.when(F.col("source") == "static", F.col("_static")).when(F.col("source") == "dynamic", F.col("_made")).otherwise(g.vary_negative(F.concat_ws("/", key.cast("string"), F.lit(str(attempt))), F.col("_static")))
-    return fixed(drawn, text=text).select("id", "source", "text", "_made")
-
-
-def unique_negatives(keys: DataFrame, key_col: str) -> DataFrame:
-    """(id, attempt, text): texts that no other key has. In each of ATTEMPTS rounds a key that has none yet draws one, and of those that draw the same, unless it is taken, the least gets it; keys left over get a text made of words with a number of six digits."""
-    left, won = keys.select(F.col(key_col).alias("id")), None
-    for k in range(ATTEMPTS):
-        drawn = negatives(left, "id", k).groupBy("text").agg(F.min("id").alias("id"))
-        if won is not None:
-            drawn = drawn.join(won.select("text"), "text", "left_anti")
-        drawn = drawn.select("id", F.lit(k).alias("attempt"), "text")
-        won = drawn if won is None else won.unionByName(drawn)
-        left = left.join(drawn.select("id"), "id", "left_anti")
-    rest = negatives(left, "id", ATTEMPTS).select("id", F.lit(ATTEMPTS).alias("attempt"), F.concat("_made", F.lit(" (Ref: "), (below(F.col("id"), "ref", 900_000) + 100_000).cast("string"), F.lit(")")).alias("text"))
-    return won.unionByName(rest)
+    text = F.when(F.col("source") == "static", F.col("_static")).when(F.col("source") == "dynamic", F.col("_made")).otherwise(g.vary_negative(F.concat_ws("/", key.cast("string"), attempt.cast("string")), F.col("_static")))
+    return fixed(drawn, text=text).select("id", "attempt", "source", "text", "_made")
+
+
+CLAIMS = "id long, attempt int, text string, round int"
+
+
+def claim(keys: DataFrame, draw: Callable[[DataFrame], DataFrame], rounds: tuple[int, ...], path: str) -> None:
+    """Unique texts by rounds of draws and claims, each written once to a folder: (id, attempt, text) by round.
+
+    In a round every key without a text draws so many, numbered on over the rounds (draw gives id, attempt and text of id and attempt). Texts that
+    were taken in an earlier round are left out. Of those who draw a text, the one of the least attempt, and then of the least key, may have it,
+    and a key takes the first that it may have; its others are free again. Rounds end when no key is left.
+    """
+    spark, first = keys.sparkSession, 0
+    for k, n in enumerate(rounds):
+        taken = read_checkpoint(spark, path, CLAIMS).where(F.col("round") < k)
+        left = keys.select(F.col("id").cast("long").alias("id")).join(taken.select("id"), "id", "left_anti")
+        tries = left.select("id", F.explode(F.sequence(F.lit(first), F.lit(first + n - 1))).alias("attempt"))
+        fresh = draw(tries).select("id", "attempt", "text").join(taken.select("text"), "text", "left_anti")
+        mine = fresh.groupBy("text").agg(F.min(F.struct("attempt", "id")).alias("c")).select("text", "c.attempt", "c.id")
+        won = mine.groupBy("id").agg(F.min(F.struct("attempt", "text")).alias("c")).select("id", "c.attempt", "c.text", F.lit(k).alias("round"))
+        append_checkpoint(won, path, ("round",))
+        first += n
+        if not left.join(read_checkpoint(spark, path, CLAIMS).where(F.col("round") == k).select("id"), "id", "left_anti").limit(1).count():
+            return
+
+
+def _with_number(tries: DataFrame) -> DataFrame:
+    """Texts made of words with a number of six digits."""
+    drawn = negatives(tries, "id")
+    ref = F.pmod(u32(F.col("id"), F.concat(F.lit("ref"), F.col("attempt"))), F.lit(900_000)) + 100_000
+    return drawn.select("id", "attempt", F.concat("_made", F.lit(" (Ref: "), ref.cast("string"), F.lit(")")).alias("text"))
+
+
+def unique_negatives(keys: DataFrame, key_col: str, path: str) -> DataFrame:
+    """(id, attempt, text): a negative text for each key that no other key has, by claims in `path`. Keys that a hundred draws leave without one claim texts with a number of six digits, in more rounds until each has one. Keys must be unique."""
+    ids = keys.select(F.col(key_col).cast("long").alias("id"))
+    draws = sum(NEGATIVE_ROUNDS)
+    claim(ids, lambda tries: negatives(tries, "id"), NEGATIVE_ROUNDS, path)
+    done = read_checkpoint(keys.sparkSession, path, CLAIMS)
+    k = len(NEGATIVE_ROUNDS)
+    while (left := ids.join(read_checkpoint(keys.sparkSession, path, CLAIMS).select("id"), "id", "left_anti")).limit(1).count():
+        fresh = _with_number(left.withColumn("attempt", F.lit(draws))).join(done.select("text"), "text", "left_anti")
+        won = fresh.groupBy("text").agg(F.min("id").alias("id")).select("id", F.lit(draws).alias("attempt"), "text", F.lit(k).alias("round"))
+        append_checkpoint(won, path, ("round",))
+        done, k, draws = read_checkpoint(keys.sparkSession, path, CLAIMS), k + 1, draws + 1
+    return done.select("id", "attempt", "text")
+
+
+def _positives(tries: DataFrame) -> DataFrame:
+    """Samples with an entity, of (id, attempt)."""
+    drawn = g.samples(tries.select(F.concat_ws(":", "id", "attempt").alias("of")), "of", g.TYPES[:-1])
+    parts = F.split("id", ":")
+    return drawn.select(parts[0].cast("long").alias("id"), parts[1].cast("int").alias("attempt"), "text", "entity_type", "value")
+
+
+def unique_positives(keys: DataFrame, key_col: str, path: str) -> DataFrame:
+    """(id, attempt, entity_type, text, value, repeated): a text with an entity for each key, by claims in `path`. Keys that fifty draws leave without a text of their own keep the last one, though others have it (repeated)."""
+    ids = keys.select(F.col(key_col).cast("long").alias("id"))
+    claim(ids, _positives, POSITIVE_ROUNDS, path)
+    won = read_checkpoint(keys.sparkSession, path, CLAIMS).select("id", "attempt", F.lit(False).alias("repeated"))
+    last = ids.join(won.select("id"), "id", "left_anti").select("id", F.lit(sum(POSITIVE_ROUNDS) - 1).alias("attempt"), F.lit(True).alias("repeated"))
+    chosen = won.unionByName(last)
+    texts = _positives(chosen.select("id", "attempt"))
+    return texts.join(chosen, ["id", "attempt"]).select("id", "attempt", "entity_type", "text", "value", "repeated")
 
 
 def balanced(keys: DataFrame, key_col: str) -> DataFrame:

@@ -10,7 +10,7 @@ from textward.operators import generate as g
 from textward.operators import mixture as mx
 from textward.plans import sql
 from textward.plans.catalog import AUGMENTED_VALUE, AUGMENTED_WAY, query, samples_of, varied
-from textward.session import table
+from textward.session import shared_folder, table
 
 _TABLE = ", ".join(f"('{t}', '{n}', {c})" for t, n, _, _, c in g.AUGMENTATIONS)
 _case = f"CASE {sql.below('case', 4)} WHEN 0 THEN upper(filled) WHEN 1 THEN lower(filled) WHEN 2 THEN {sql.mixed_case('filled')} ELSE filled END"
@@ -48,48 +48,69 @@ def multi_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _multi(spark, sf_dir).select("id", F.when(F.size("entities") > 0, F.concat(F.lit("Detected "), kinds)).otherwise("No PII detected in text").alias("reason"), dc.max_severity(F.col("entities")).alias("severity"))
 
 
-def _negative_sql(rows: str, attempt: int) -> str:
-    """(id, source, text, made) of one attempt, for ids in rows."""
+def _negative_sql(rows: str) -> str:
+    """(id, a, source, text, made) for (id, a) in rows, a being the attempt."""
+    draw = lambda slot, n=None: sql.u(f"'{slot}' || a", raw=True) + (f" % {n}" if n else "")
 
     def slot(j: int, s: tuple) -> str:
-        n = sql.u(f"n{j}{attempt}")
+        n = draw(f"n{j}")
         if isinstance(s[0], str):
             return f"[{', '.join(map(sql.quote, s))}][({n} % {len(s)} + 1)::INT]"
         text = f"({n} % {s[1] - s[0] + 1} + {s[0]})::VARCHAR"
         return f"lpad({text}, {s[2]}, '0')" if s[0] < 10 ** (s[2] - 1) else text
 
-    made = f"CASE {sql.below(f'which{attempt}', len(mx.DYNAMIC))} " + " ".join(f"WHEN {k} THEN " + " || ".join(x for pair in zip(map(sql.quote, t.split("{}")), [*(slot(j, s) for j, s in enumerate(slots)), "''"], strict=True) for x in pair) for k, (t, slots) in enumerate(mx.DYNAMIC)) + " END"
-    source, static = sql.below(f"source{attempt}", 100), sql.pick(f"static{attempt}", mx.STATIC)
-    return f"""SELECT id, CASE WHEN {source} < 40 THEN 'static' WHEN {source} < 70 THEN 'dynamic' ELSE 'varied' END AS source, made,
-      CASE WHEN {source} < 40 THEN {static} WHEN {source} < 70 THEN made ELSE {varied(static, f"id || '/{attempt}'")} END AS text FROM (SELECT id, {made} AS made FROM {rows})"""
+    made = f"CASE {draw('which', len(mx.DYNAMIC))} " + " ".join(f"WHEN {k} THEN " + " || ".join(x for pair in zip(map(sql.quote, t.split("{}")), [*(slot(j, s) for j, s in enumerate(slots)), "''"], strict=True) for x in pair) for k, (t, slots) in enumerate(mx.DYNAMIC)) + " END"
+    source, static = draw("source", 100), f"[{', '.join(map(sql.quote, mx.STATIC))}][({draw('static', len(mx.STATIC))} + 1)::INT]"
+    return f"""SELECT id, a, CASE WHEN {source} < 40 THEN 'static' WHEN {source} < 70 THEN 'dynamic' ELSE 'varied' END AS source, made,
+      CASE WHEN {source} < 40 THEN {static} WHEN {source} < 70 THEN made ELSE {varied(static, "(id || '/' || a)")} END AS text FROM (SELECT id, a, {made} AS made FROM {rows})"""
+
+
+def _claims_sql(rounds: tuple[int, ...], drawn) -> str:
+    """CTEs from ids to won (id, attempt, text) and left_ (id) by rounds; drawn(rows) gives id, a and text of (id, a) in rows."""
+    out, first, won, left = "", 0, "SELECT NULL::BIGINT AS id, NULL::INT AS attempt, NULL AS text WHERE false", "ids"
+    for k, n in enumerate(rounds):
+        out += f""",
+t{k} AS (SELECT id, a FROM {left}, unnest(range({first}, {first + n})) t(a)), d{k} AS ({drawn(f't{k}')}), m{k} AS (SELECT text, min({{'a': a, 'id': id}}) AS c FROM d{k} WHERE text NOT IN (SELECT text FROM v{k}) GROUP BY text),
+w{k} AS (SELECT c.id AS id, min({{'a': c.a, 't': text}}) AS c FROM m{k} GROUP BY c.id), v{k + 1} AS (SELECT * FROM v{k} UNION ALL SELECT id, c.a, c.t FROM w{k}), l{k} AS (SELECT id FROM {left} WHERE id NOT IN (SELECT id FROM w{k}))"""
+        first, left = first + n, f"l{k}"
+    return f", v0 AS ({won}){out}, won AS (SELECT * FROM v{len(rounds)}), left_ AS (SELECT id FROM {left})"
 
 
 _KEYS = "ids AS (SELECT c_custkey AS id FROM customer)"
 
 
-@query("negative_mix", f"WITH {_KEYS} SELECT id, source, text FROM ({_negative_sql('ids', 0)})")
+@query("negative_mix", f"WITH {_KEYS}, i0 AS (SELECT id, 0 AS a FROM ids) SELECT id, source, text FROM ({_negative_sql('i0')})")
 def negative_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.negatives(table(spark, sf_dir, "customer"), "c_custkey").select("id", "source", "text")
 
 
-_rounds, _won, _left = f"WITH {_KEYS}", [], "ids"
-for _k in range(mx.ATTEMPTS):
-    _taken = " AND text NOT IN (" + " UNION ALL ".join(f"SELECT text FROM w{j}" for j in range(_k)) + ")" if _k else ""
-    _rounds += f",\nd{_k} AS ({_negative_sql(_left, _k)}), w{_k} AS (SELECT min(id) AS id, {_k} AS attempt, text FROM d{_k} WHERE true{_taken} GROUP BY text), l{_k} AS (SELECT id FROM {_left} WHERE id NOT IN (SELECT id FROM w{_k}))"
-    _left = f"l{_k}"
-_rounds += f",\nr AS (SELECT id, {mx.ATTEMPTS} AS attempt, made || ' (Ref: ' || ({sql.below('ref', 900_000)} + 100000) || ')' AS text FROM ({_negative_sql(_left, mx.ATTEMPTS)}))"
+_draws = sum(mx.NEGATIVE_ROUNDS)
 
 
-@query("unique_negatives", _rounds + " " + " UNION ALL ".join(f"SELECT id, attempt, text FROM w{k}" for k in range(mx.ATTEMPTS)) + " UNION ALL SELECT id, attempt, text FROM r")
+@query("unique_negatives", f"""WITH {_KEYS}{_claims_sql(mx.NEGATIVE_ROUNDS, _negative_sql)}, i1 AS (SELECT id, {_draws} AS a FROM left_)
+SELECT id, attempt::INT AS attempt, text FROM won UNION ALL SELECT id, a::INT, made || ' (Ref: ' || ({sql.u(f"'ref{_draws}'", raw=True)} % 900000 + 100000) || ')' FROM ({_negative_sql('i1')})""")
 def unique_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mx.unique_negatives(table(spark, sf_dir, "customer"), "c_custkey")
+    return mx.unique_negatives(table(spark, sf_dir, "customer"), "c_custkey", shared_folder(spark, "negatives"))
+
+
+_positive = sql.SAMPLES.replace(sql.pick("type", g.TYPES, "c_custkey"), sql.pick("type", g.TYPES[:-1], "c_custkey")).replace("c_custkey", "key")
+
+
+def _positive_sql(rows: str) -> str:
+    return f"WITH {_positive.replace('FROM customer', f'FROM (SELECT id || {chr(39)}:{chr(39)} || a AS key FROM {rows})')} SELECT split_part(id, ':', 1)::BIGINT AS id, split_part(id, ':', 2)::INT AS a, text, entity_type, value FROM s"
+
+
+@query("unique_positives", f"""WITH {_KEYS}{_claims_sql(mx.POSITIVE_ROUNDS, _positive_sql)}, ch AS (SELECT id, attempt AS a, false AS repeated FROM won UNION ALL SELECT id, {sum(mx.POSITIVE_ROUNDS) - 1}, true FROM left_)
+SELECT id, a::INT AS attempt, entity_type, text, value, repeated FROM ({_positive_sql('ch')}) JOIN ch USING (id, a)""")
+def unique_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mx.unique_positives(table(spark, sf_dir, "customer"), "c_custkey", shared_folder(spark, "positives"))
 
 
 _half = f"row_number() OVER (ORDER BY {sql.u('split', 'c_custkey')}, c_custkey) <= count(*) OVER () * 50 // 100"
 _pairs = sql.SAMPLES.replace(sql.pick("type", g.TYPES, "c_custkey"), sql.pick("type", g.TYPES[:-1], "c_custkey")).replace("FROM customer)", "FROM h WHERE first)", 1)
 
 
-@query("balanced_mix", f"WITH h AS (SELECT c_custkey, {_half} AS first FROM customer), {_pairs}, ids AS (SELECT c_custkey AS id FROM h WHERE NOT first) SELECT id, true AS flagged, text FROM s UNION ALL SELECT id, false, text FROM ({_negative_sql('ids', 0)})")
+@query("balanced_mix", f"WITH h AS (SELECT c_custkey, {_half} AS first FROM customer), {_pairs}, ids AS (SELECT c_custkey AS id, 0 AS a FROM h WHERE NOT first) SELECT id, true AS flagged, text FROM s UNION ALL SELECT id, false, text FROM ({_negative_sql('ids')})")
 def balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.balanced(table(spark, sf_dir, "customer"), "c_custkey")
 
