@@ -66,3 +66,28 @@ def test_confidence_of_exactly_the_limit_is_not_low(spark):
     e = ", ".join(["named_struct('type','PERSON','value','x','start',0,'end',1,'cents',60)"] * 10)
     r = decide(spark.sql(f"SELECT array({e}) AS entities")).first()
     assert r.confidence == 0.6 and not r.fallback
+
+
+def test_many_matches_take_linear_time(spark):
+    import re
+    import time
+
+    from textward.functions.spans import find_all
+
+    text = "é1 " + " 😀 ".join(f"{k}" for k in range(100_000))
+    df = spark.createDataFrame([(text,)], "text string").cache()
+    df.count()
+    took = []
+    for _ in range(2):  # the first run compiles
+        began = time.perf_counter()
+        found = df.select(find_all(df.text, r"\d+").alias("f")).selectExpr("size(f) AS n", "sha2(to_json(transform(f, x -> array(x.start, x.end))), 256) AS h").first()
+        took.append(time.perf_counter() - began)
+    import hashlib
+    import json
+
+    places = [[m.start(), m.end()] for m in re.finditer(r"\d+", text)]
+    assert found.n == 100_001 and found.h == hashlib.sha256(json.dumps(places, separators=(",", ":")).encode()).hexdigest()
+    assert min(took) < 2, took
+    for n in (0, 1, 255, 256, 257, 513):
+        row = spark.createDataFrame([("7 " * n,)], "text string").select(find_all(F.col("text"), r"\d").alias("f")).first()
+        assert [(x.value, x.start, x.end) for x in row.f] == [("7", 2 * k, 2 * k + 1) for k in range(n)]
