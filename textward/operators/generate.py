@@ -240,6 +240,20 @@ def typos(key: Column, value: Column, edits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), edits), value, edit)
 
 
+#: What may stand in a separator's place; fixed values.
+SEPARATOR_NOISE = [" ", "-", ".", "/", "_", "  ", " - ", ""]
+
+
+def separator_noise(key: Column, value: Column, separator: str = " ") -> Column:
+    """All separators of a value become one other, by the key."""
+    return F.replace(value, F.lit(separator), pick(key, "sep", SEPARATOR_NOISE))
+
+
+def edits_by_share(value: Column, percent: int) -> Column:
+    """How many typos a text gets: so many hundredths of its length, at least one."""
+    return F.greatest(F.lit(1), F.floor(F.length(value) * percent / 100).cast("int"))
+
+
 def conversation(df: DataFrame, prefix: str = "Analyze for PII") -> DataFrame:
     """df of samples with conversations: system, user and assistant, the last with the label as JSON text."""
     entity = F.struct(F.col("entity_type").alias("type"), "value", "start", "end")

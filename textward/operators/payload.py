@@ -58,3 +58,16 @@ def screen(df: DataFrame, body_col: str = "body") -> DataFrame:
     df = decide(detect(df.withColumn("text", F.coalesce("text", F.lit("")))))
     why = F.when(F.col("failed"), "Error during analysis: malformed payload").when(F.col("text") == "", "No text content to analyze").otherwise(F.col("reason"))
     return df.withColumns({"reason": why, "confidence": F.when(F.col("failed"), F.lit(0.5)).otherwise(F.col("confidence"))})
+
+
+#: Answers of the two direct endpoints: (result) and the flat one.
+RESULT = "flagged", "entities", "confidence", "severity", "reason"
+
+
+def answer(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """df of direct requests with status, detect (a struct result) and analyze (flat, with the text and the action). A text that is null, empty or longer than 10,000 code points is refused with 422 and has no answer."""
+    fits = F.coalesce(F.length(text_col).between(1, 10_000), F.lit(False))
+    done = decide(detect(df.withColumn("_t", F.when(fits, F.col(text_col)).otherwise(F.lit(""))), "_t")).withColumn("flagged", F.size("entities") > 0)
+    done = done.withColumn("entities", F.transform("entities", lambda e: F.struct(e["type"].alias("type"), e["value"].alias("value"), e["start"].alias("start"), e["end"].alias("end"), (e["cents"] / 100).alias("confidence"))))
+    flat = F.struct(F.col(text_col).alias("text"), *RESULT[:4], "action", "reason")
+    return done.select(*df.columns, F.when(fits, 200).otherwise(422).alias("status"), F.when(fits, F.struct(F.struct(*RESULT).alias("result"))).alias("detect"), F.when(fits, flat).alias("analyze"))
