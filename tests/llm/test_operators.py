@@ -213,6 +213,39 @@ def test_decontamination_equals_search(spark):
     assert decontaminate.find(table(spark, texts), bench.limit(0)).where(F.size("hit_words") > 0).count() == 0
 
 
+def test_windows_of_few_words_equal_search():
+    # words that repeat: failure links and patterns within patterns matter, and texts are longer than a lane
+    rng = random.Random(5)
+    for _ in range(40):
+        say = lambda n: b" ".join(rng.choice([b"a", b"b", b"Bb", b"\xc3\xa9"]) for _ in range(rng.randrange(n)))
+        width = rng.randrange(1, 6)
+        items = [(rng.choice(["x", "y", "z", None]), say(9)) for _ in range(rng.randrange(6))]
+        texts = [say(400), b"", *(say(7) + b". c-" + say(9) for _ in range(30))]
+        for text, (n, hit, found) in zip(texts, decontaminate.Windows(items, width).scan(texts), strict=True):
+            w, want, which = decontaminate.words(text), set(), set()
+            for item, raw in items:
+                iw = decontaminate.words(raw)
+                m = min(width, len(iw))
+                for a in range(len(iw) - m + 1 if m else 0):
+                    for b in range(len(w) - m + 1):
+                        if w[b : b + m] == iw[a : a + m]:
+                            want |= set(range(b, b + m))
+                            which.add(item)
+            assert (n, hit.tolist(), found) == (len(w), sorted(want), sorted(which, key=lambda x: (x is None, x)))
+
+
+def test_decontamination_in_pieces_and_chunks(spark, monkeypatch):
+    text = "and so on, " * 300 + "the fox has been here before" + " and so on" * 300
+    docs = table(spark, [text, "the Fox has; been", None])
+    items = spark.createDataFrame([(k, f"the fox has {w} here before") for k, w in enumerate(["been", "not", "been", "never"])] + [(9, "so on and")], "item_id long, text string")
+    want = sorted(map(tuple, decontaminate.find(docs, items, 4).collect()), key=str)
+    assert [r.item_ids for r in decontaminate.find(docs, items, 4).orderBy("doc_id").collect()] == [["0", "2", "9"], ["0", "2"], []]
+    for piece, chunk in ((50, 8_000_000), (1_000_000, 60)):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        monkeypatch.setattr(decontaminate, "CHUNK_BYTES", chunk)
+        assert sorted(map(tuple, decontaminate.find(docs, items, 4).collect()), key=str) == want
+
+
 def test_decontamination_finds_items_without_an_id(spark):
     import duckdb
     from textward.llm import queries
