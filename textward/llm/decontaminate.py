@@ -3,7 +3,7 @@
 Texts and items are reduced to the same words: A-Z lower-cased, runs of digits, ASCII letters and non-ASCII
 characters kept. Every window of `width` consecutive words of an item (the whole item, if it has fewer words,
 but not none) is a pattern of the automaton, whose symbols are words. Its states are numbered by levels, so that one sorted
-array of (state, word) is all of its edges, with failure and output links beside it: about 30 bytes for each byte of items.
+array of (state, word) is all of its edges, with failure and output links beside it: about 40 bytes for each byte of items.
 A task scans each reduced text once: a batch's words are laid in lanes that advance together, each after the
 `width` - 1 words before it. A match's end and length give the words that are hit; these are mapped to code-point offsets of
 the original text. The items go to each worker once. Items whose texts exceed `CHUNK_BYTES` together are
@@ -70,7 +70,7 @@ class Windows:
         start = np.repeat(np.cumsum(sizes) - sizes, per) + np.arange(len(item)) - np.repeat(np.cumsum(per) - per, per)
         n, state = of_size[item], np.zeros(len(item), np.int64)
         keys, self.fail = np.empty(int(n.sum()), np.int64), np.zeros(int(n.sum()) + 1, np.int32)
-        self.levels = [0, 1]
+        self.levels, self.begin = [0, 1], None
         self.keys, self.root = keys[:0], np.zeros(self.span, np.int64)
         for d in range(width):
             live = np.flatnonzero(n > d)
@@ -87,6 +87,7 @@ class Windows:
             self.keys = keys[: first - 1 + len(edges)]
             self.levels.append(first + len(edges))
         self.keys, self.fail = self.keys.copy(), self.fail[: self.levels[-1]].copy()
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.keys // self.span, minlength=self.levels[-1]))]).astype(np.int32)
         # what ends in a state: its own items, and the next shorter pattern that does
         names = sorted({i for i, _ in items}, key=lambda x: (x is None, x))
         place = {x: k for k, x in enumerate(names)}
@@ -112,9 +113,14 @@ class Windows:
             to[todo[top]] = self.root[word[top]]
             todo, state, word = todo[~top], state[~top], word[~top]
             edge = state * self.span + word
-            at = np.searchsorted(self.keys, edge)
+            if self.begin is None:
+                at = np.searchsorted(self.keys, edge)
+            else:  # most states have one edge or none
+                at = self.begin[state]
+                many = np.flatnonzero(self.begin[state + 1] - at > 1)
+                at[many] = np.searchsorted(self.keys, edge[many])
             found = self.keys.take(at, mode="clip") == edge if len(self.keys) else np.zeros(len(edge), bool)
-            to[todo[found]] = at[found] + 1
+            to[todo[found]] = at[found].astype(np.int64) + 1
             todo, word, state = todo[~found], word[~found], self.fail[state[~found]].astype(np.int64)
         return to
 
