@@ -357,6 +357,26 @@ def test_comments_longer_than_the_article_go():
     assert html_text.main_text(f"<body><div class=ad>{'Buy this now, it is the best of all that can be bought. ' * 3}</div><article><h1>T</h1><p>Short text of it.</p></article></body>") == "T\nShort text of it."
 
 
+_TITLE = "A title, or a first line, that is as long as titles seldom are, but short beside all of the text that comes below it"
+_BOX = "<p>" + "A long text beside the article, of many words and without a link. " * 9 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><article><p>Two short lines.</p><p>Second one.</p></article><div id=comments>{_BOX}</div></body>", "Two short lines.\nSecond one."),
+        (f"<body><article><p>Two short lines.</p><p>Second one.</p></article><div class=related>{_BOX}</div></body>", "Two short lines.\nSecond one."),
+        (f"<body><div>Two short lines.<br>Second one.</div><div class='comment-list'>{_BOX}</div></body>", "Two short lines. Second one."),
+        (f"<body><article>{_LONG}<p class=share-price>Price: 30.</p><section id=ad-hoc><p>A notice.</p></section><div class=ad-box>Buy</div></article></body>", re.sub("<p>(.*?)</p>", r"\1\n", _LONG) + "Price: 30.\nA notice."),
+        (f"<body><div class=content>{_LONG * 4}</div><div class=imprint>A line of the house.</div></body>", re.sub("<p>(.*?)</p>", r"\1\n", _LONG * 4).strip()),
+        (f"<body><form id=f><nav><a href=/>Home</a></nav><div class=related>{_LONG}</div></form></body>", re.sub("<p>(.*?)</p>", r"\1\n", _LONG).strip()),
+        (f"<body><div><h1>{_TITLE}</h1></div><p>{_TITLE}</p><div class=content>{_LONG * 8}</div><div>{_TITLE}</div></body>", f"{_TITLE}\n{_TITLE}\n" + re.sub("<p>(.*?)</p>", r"\1\n", _LONG * 8).strip()),
+    ],
+)
+def test_short_articles_and_boxes_beside_them(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_neighbour_graph_converges(spark, monkeypatch):
     # two trees of small leaves: a poor first graph, which two rounds do not mend
     monkeypatch.setattr(ann, "TREES", 2)

@@ -3,13 +3,15 @@
 For every node of a page's tree: its characters, its tags, and those of them within links. A node's density is its
 characters per tag, divided by how much of it is links compared with the page (so menus fall away). The node whose
 children's densities have the largest sum holds the main text and is kept whole. The least density on the path from it
-to the body is the threshold: from the body down, a subtree whose density is below it is dropped, and of one that reaches it
-the node of largest sum is kept whole and the parts around that node are looked at in the same way. So an article split over several
-subtrees stays whole, and menus and boxes beside it go, however deep all of them are wrapped. Inline content between blocks counts as one child.
-Only scripts, styles and other elements without text are left out before.
+to the body is the threshold: from the body down, a subtree whose density is below it is dropped, and so is a box whose largest sum is below a SHARE of
+the main node's, unless it holds a heading or stands in the same article. Of a subtree that stays, the node of largest sum is kept whole and the parts around it are
+looked at in the same way. So an article split over several subtrees stays whole, and menus, footers, notices and adverts beside it go, however deep all of them
+are wrapped. Inline content between blocks counts as one child. Only scripts, styles and other elements without text are left out before.
 
-Within what density chose, elements that hold no article's text by tag or role, or by the words of class and id, are left out. If no block of REAL characters is left then, density chooses again
-without them; if that finds nearly nothing, the largest of those told by words (or a form) is kept after all: an article in a box called "related" is still the article.
+Tags, roles, and the words of class and id decide only what densities can't tell: reader comments may be longer than the article, and a footer may be as long as
+a short one. Of what density keeps, an element that is named as no part of an article is left out: by its tag or role, or if all words of a class or id are listed ("comment-list",
+but not "share-price"); if only some are, where most of its text is links. If the main node itself is in such an element, or nothing is left, the elements that are left out go first and density chooses again.
+On a page without any other text but links, the largest element that words name (or a form) is the article, whatever its box is called.
 
 Character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined by one
 line feed in page order; empty blocks vanish; nothing else is dropped. A null or empty page has the empty text; pages
@@ -41,8 +43,12 @@ HIDDEN_TAGS = frozenset("head script style noscript template iframe object svg c
 OUT_TAGS = frozenset("nav footer aside button input menu dialog".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent notice banner popup modal newsletter subscribe comment comments respond disqus share sharing social related recommended".split())
-#: Characters of a block, links apart, that an article has at least one of.
-REAL = 80
+#: Words that say nothing beside those: "ad-box", "comments-list".
+PLAIN_WORDS = frozenset("a area block body bottom box btn button container content element group holder inner item items left list main outer panel position post posts row right section slot space text thread title top unit view widget wrap wrapper".split())
+#: Boxes, which go if their largest sum of densities is less than this share of the main node's.
+BOXES = frozenset("address aside center dd details dialog div dl dt fieldset figure footer form header li menu nav ol section table tbody td tr ul".split())
+SHARE = 1 / 12
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -93,7 +99,7 @@ class Tree(HTMLParser):
 
 
 def _doubt(tag: str, attrs: list, parent: Node) -> str:
-    """Why an element is no part of an article: "sure" by its tag or role, "likely" by the words of its class and id; or nothing."""
+    """Why an element is no part of an article: "sure" by its tag or role, "likely" by all words of a class or id, "maybe" by some of them; or nothing."""
     if tag in OUT_TAGS or tag == "header" and not _inside(parent, "article"):
         return "sure"
     if tag in ("header", "body", "html", "article", "main"):
@@ -101,7 +107,11 @@ def _doubt(tag: str, attrs: list, parent: Node) -> str:
     given = {name: (value or "").lower() for name, value in attrs}
     if given.get("role") in OUT_ROLES:
         return "sure"
-    return "likely" if tag == "form" or not OUT_WORDS.isdisjoint(_SPLIT.split(given.get("class", "") + " " + given.get("id", ""))) else ""
+    names = [{w for w in _SPLIT.split(name) if w and not w.isdigit()} for name in (given.get("class", "") + " " + given.get("id", "")).split()]
+    listed = [name for name in names if not OUT_WORDS.isdisjoint(name)]
+    if tag == "form" or any(name <= OUT_WORDS | PLAIN_WORDS for name in listed):
+        return "likely"
+    return "maybe" if listed else ""
 
 
 def _inside(node: Node | None, tag: str) -> bool:
@@ -157,7 +167,7 @@ def _units(node: Node) -> Iterator[Node]:
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The subtrees that are kept, in page order."""
+    """The subtrees that are kept, in page order; the main node is root.best's."""
     nodes = _walk(root)
     for node in reversed(nodes):
         _measure(node, node.parts)
@@ -175,24 +185,37 @@ def main_nodes(root: Node) -> list[Node]:
                 node.total += x.density
         # the node of largest sum; of equal ones that with more characters, then the first on the page; inline ones stay in their block
         node.best = max([node, *(x.best for x in _kids(node) if x.block and x.chars)], key=lambda n: (n.total, n.chars))
+    root.best = top = body.best
     if not body.chars:
         return [body]
-    least, node = body.best.density, body.best
-    while node is not body:
-        node = node.parent
-        least = min(least, node.density)
-    out, todo = [], [body]
+    above = [top, *_above(top)]
+    least = min(x.density for x in above[: above.index(body) + 1])
+    frame, path = next((x for x in above if x.tag in ("article", "main")), None), set(map(id, above))
+    titled: set[int] = set()
+    for node in reversed(nodes):
+        if node.tag in HEADINGS and node.chars > node.link_chars or any(id(x) in titled for x in _kids(node)):
+            titled.add(id(node))
+    out, todo = [], [(body, frame is body)]
     while todo:
-        node = todo.pop()
+        node, framed = todo.pop()
+        framed = framed or node is frame
         if not node.block and node is not body:
             _measure(node, node.parts)
             if _density(node.chars, node.tags, node.link_chars, node.link_tags, share) >= least:
                 out.append(node)
-        elif node.density >= least:
+        elif node.density >= least and (id(node) in path or framed or node.tag not in BOXES or id(node) in titled or node.best.total >= SHARE * top.total):
             if node.best is node:
                 out.append(node)
             else:
-                todo += reversed(list(_units(node)))
+                todo += [(x, framed) for x in reversed(list(_units(node)))]
+    return out
+
+
+def _above(node: Node) -> list[Node]:
+    out = []
+    while node.parent is not None:
+        node = node.parent
+        out.append(node)
     return out
 
 
@@ -230,19 +253,38 @@ def blocks(node: Node, doubted: list[Node]) -> list[str]:
     return out
 
 
-def _choose(root: Node) -> tuple[list[str], list[Node]]:
-    """The blocks of the subtrees that density chooses, and the nodes in doubt that were left out of them."""
+def _choose(root: Node) -> tuple[list[str], list[Node], bool]:
+    """The blocks of the subtrees that density chooses, the nodes in doubt that were left out of them, and whether the main node is in one."""
     out, doubted = [], []
-    for node in main_nodes(root):
+    nodes = main_nodes(root)
+    for node in nodes:
         # a node in doubt further up leaves out all that is below it
-        above, last = node.parent, None
-        while above is not None:
-            above, last = above.parent, above if above.doubt else last
+        last = next((x for x in reversed(_above(node)) if x.doubt), None)
         if last is None:
             out += blocks(node, doubted)
         else:
             doubted.append(last)
-    return out, doubted
+    return out, doubted, any(x.doubt for x in (root.best, *_above(root.best)))
+
+
+def _settle(root: Node) -> None:
+    """Decides about elements with some listed words, and takes the largest one told by words for the article while the rest of the page has no text but links."""
+    for node in reversed(_walk(root)):
+        _measure(node, node.parts)
+        if node.doubt == "maybe":
+            node.doubt = "likely" if 2 * node.link_chars > node.chars else ""
+    while True:
+        likely, rest, todo = [], False, [root]
+        while todo and not rest:
+            node = todo.pop()
+            if node.doubt:
+                likely += [node] if node.doubt == "likely" and node.chars > node.link_chars else []
+            elif node.tag != "a":
+                rest = any(isinstance(x, str) and not x.isspace() for x in node.parts)
+                todo += _kids(node)
+        if rest or not likely:
+            return
+        max(likely, key=lambda x: x.chars - x.link_chars).doubt = ""
 
 
 def main_text(html: str | None) -> str:
@@ -251,19 +293,12 @@ def main_text(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    real = lambda out: any(len(x) >= REAL for x in out)
-    size = lambda x: x.chars - x.link_chars
-    out, doubted = _choose(tree.root)
-    dropped: list[Node] = []
-    while doubted and not real(out):  # density chose little else: it chooses again without them
+    _settle(tree.root)
+    out, doubted, within = _choose(tree.root)
+    while doubted and (within or not out):  # the main text is no article's: density chooses again without it
         for x in doubted:
             x.out = True
-        dropped += doubted
-        out, doubted = _choose(tree.root)
-    likely = max((x for x in dropped if x.doubt == "likely"), key=size, default=None)
-    if likely is not None and not real(out) and size(likely) >= max(REAL, 10 * sum(map(len, out))):
-        likely.out, likely.doubt = False, ""
-        out, _ = _choose(tree.root)
+        out, doubted, within = _choose(tree.root)
     return "\n".join(out)
 
 
