@@ -357,6 +357,7 @@ def test_comments_longer_than_the_article_go():
     assert html_text.main_text(f"<body><div class=ad>{'Buy this now, it is the best of all that can be bought. ' * 3}</div><article><h1>T</h1><p>Short text of it.</p></article></body>") == "T\nShort text of it."
 
 
+_LEFT = "<div class=left><ul>" + "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(12)) + "</ul></div>"
 _TITLE = "A title, or a first line, that is as long as titles seldom are, but short beside all of the text that comes below it"
 _BOX = "<p>" + "A long text beside the article, of many words and without a link. " * 9 + "</p>"
 
@@ -370,7 +371,7 @@ _BOX = "<p>" + "A long text beside the article, of many words and without a link
         (f"<body><article>{_LONG}<p class=share-price>Price: 30.</p><section id=ad-hoc><p>A notice.</p></section><div class=ad-box>Buy</div></article></body>", re.sub("<p>(.*?)</p>", r"\1\n", _LONG) + "Price: 30.\nA notice."),
         (f"<body><div class=content>{_LONG * 4}</div><div class=imprint>A line of the house.</div></body>", re.sub("<p>(.*?)</p>", r"\1\n", _LONG * 4).strip()),
         (f"<body><form id=f><nav><a href=/>Home</a></nav><div class=related>{_LONG}</div></form></body>", re.sub("<p>(.*?)</p>", r"\1\n", _LONG).strip()),
-        (f"<body><div><h1>{_TITLE}</h1></div><p>{_TITLE}</p><div class=content>{_LONG * 8}</div><div>{_TITLE}</div></body>", f"{_TITLE}\n{_TITLE}\n" + re.sub("<p>(.*?)</p>", r"\1\n", _LONG * 8).strip()),
+        (f"<body>{_LEFT}<div><h1>{_TITLE}</h1></div><p>{_TITLE}</p><div class=content>{_LONG * 8}</div><div>{_TITLE}</div></body>", f"{_TITLE}\n{_TITLE}\n" + re.sub("<p>(.*?)</p>", r"\1\n", _LONG * 8).strip()),
     ],
 )
 def test_short_articles_and_boxes_beside_them(html, text):
@@ -391,7 +392,6 @@ def test_neighbour_graph_converges(spark, monkeypatch):
     assert sum(len(graph[k] & set(best[k].tolist())) for k in range(2_000)) >= 0.97 * best.size
 
 
-_LEFT = "<div class=left><ul>" + "".join(f"<li><a href=/{k}>Topic {k}</a></li>" for k in range(12)) + "</ul></div>"
 _LEGAL = "<div class=legal><a href=/i>Imprint</a> <a href=/p>Privacy</a> <a href=/t>Terms</a></div>"
 _PARAS = [f"Paragraph {k} of the article, which is as long as paragraphs are, with <b>some</b> words {k} and then more of them." for k in range(6)]
 _PLAIN = [re.sub("<.*?>", "", x) for x in _PARAS]
