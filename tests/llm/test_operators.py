@@ -106,6 +106,17 @@ def test_toxicity_learns_and_leaves_clean_texts(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.learn(docs.limit(0), labels).lexicon == toxicity.Lexicon()
 
 
+def test_toxicity_of_rows_without_an_id(spark, tmp_path):
+    from textward.llm import queries
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["river", "stone", "cloud", "paper", "garden", "window"], k=30)) + (" wretched" if k % 2 else "") for k in range(120)]
+    spark.createDataFrame([*enumerate(texts), (None, "a wretched one"), (None, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(120)] + [(None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [r for r in queries.op2_toxicity(spark, str(tmp_path)).collect() if r.doc_id is None]
+    assert [r.held_out for r in got] == [False, False]
+
+
 def test_toxicity_counts_terms_as_by_hand(spark):
     texts = ["idiot here", "idiot here", "an idiot there", "river here", None, ""]
     rows = spark.createDataFrame([(t, int("idiot" in (t or ""))) for t in texts], "text string, toxic int")

@@ -30,7 +30,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (toxicity.crc_fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+    return scored.select("doc_id", toxicity.crc_fold(F.col("doc_id")).eqNullSafe(2).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

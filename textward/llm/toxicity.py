@@ -248,8 +248,9 @@ def _counted(rows: DataFrame) -> DataFrame:
     return once.mapInArrow(count, "term string, kind string, " + ", ".join(f"{n} long" for n in names)).groupBy("term", "kind").agg(*(F.sum(n).alias(n) for n in names))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least: int = 4, most_terms: int = 4_000) -> Model:
-    """Fit the lexicon and the model on the sample. The driver gets counts, lexicon terms and sums over the sample alone."""
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least: int = 4) -> Model:
+    """Fit the lexicon and the model on the sample. The driver gets counts, lexicon terms and sums over the sample alone: terms that at least `least` of
+    its toxic rows have, all of them, so that `sample_rows` bounds them too."""
     rows = cut(sample(docs, labels, sample_rows), "toxic-sample")
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
@@ -258,7 +259,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least:
     # the lower end of the toxic documents' share, with a pseudo-document against each term; and the share in either half
     share = (F.col("t") - F.sqrt(F.col("t"))) / (F.col("t") + F.col("c") + 1)
     half = lambda k: F.col(f"t{k}") / (F.col(f"t{k}") + F.col(f"c{k}") + 1) >= 0.25
-    good = counts.where((F.col("t") >= least) & (share >= 0.4)).withColumn("share", share).withColumn("both", half(0) & half(1)).orderBy(F.desc(share), "kind", "term").limit(most_terms).collect()
+    good = counts.where((F.col("t") >= least) & (share >= 0.4)).withColumn("share", share).withColumn("both", half(0) & half(1)).orderBy(F.desc(share), "kind", "term").collect()
     words = {r.term: r.share for r in good if r.kind == "word"}
     begun = Counter(w[:k] for w in words for k in STEMS if len(w) >= k)
     stems: dict[str, float] = {}
