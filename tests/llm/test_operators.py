@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -76,6 +77,23 @@ def test_levenshtein_automaton_equals_edit_distance():
         assert (w in found) == near, w
 
 
+def test_nearest_entry_of_a_large_lexicon():
+    rng = random.Random(6)
+    terms = sorted({"".join(rng.choices("abcdefghijkl", k=rng.randint(4, 11))) for _ in range(3_000)})
+    lexicon = toxicity.Lexicon({t: 0.9 for t in terms[100:]}, {t[:5]: 0.8 for t in terms[:100]})
+    finder = toxicity.Finder(lexicon)
+    # words as they are come from themselves or from the least stem that begins them, at no edits
+    for w in terms[100:600]:
+        begun = [s for s in lexicon.stems if w.startswith(s)]
+        assert toxicity.match(finder.trie, w) == (("stem", min(begun), 0) if begun else ("word", w, 0))
+    # a letter left out, changed or added is one edit at most, and no word is missed for its parts
+    odd = {w[:k] + x + w[k + n :] for w in terms[100:400] for k, x, n in ((2, "", 1), (3, "z", 1), (1, "z", 0), (0, "z", 0), (len(w), "z", 0)) if len(w) > 6}
+    assert finder.look(odd) == odd and max(finder.hits[w][2] for w in odd) == 1
+    began = time.time()
+    assert finder.features(" ".join(terms[100:]))[3] > 0.75
+    assert time.time() - began < 20
+
+
 def test_quotation_counts_apart():
     finder = toxicity.Finder(toxicity.Lexicon({"idiot": 1.0}, {}, frozenset({"idiom"})))
     for t in ('he said "idiot" in the report', "the term 'idiot' was cited", "er schrieb „idiot“ dazu", "a word «idiot» there", 'the word "idiot" and "river"'):

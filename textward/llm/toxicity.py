@@ -5,8 +5,8 @@ Spark counts, for each word and each stem (a word's first 4 to 7 letters), the t
 it, in two halves. Terms whose share of toxic documents is surely high, and not low in either half, make the lexicon, a
 trie whose entries are words or stems; a stem must also begin two lexicon words. Words near a term that clean documents of the sample use are no misspellings.
 
-Finding. A word's Levenshtein automaton runs down the trie: the automaton's state is the row of edit distances kept
-to those within the bound, and a branch ends where no state is left. A word of 5 letters or more may differ by one
+Finding. A word's Levenshtein automaton runs down the trie: the automaton's state is, for each number of edits within
+the bound, the set of the word's prefixes so near, as bits; a branch ends where no state is left. A word of 5 letters or more may differ by one
 edit, one of 9 or more by two; stems are matched as they are. A worker keeps the distinct words it has met.
 
 Scoring. Each hit looks at a window of words around it: quotation marks that enclose it, words of reporting, and words
@@ -28,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -74,43 +75,39 @@ def edits(n: int) -> int:
 
 def match(trie: dict, word: str) -> tuple[str, str, int] | None:
     """The nearest entry within the word's bound: (kind, term, edits); ties go to the smaller kind and term."""
-    most, found = edits(len(word)), []
-    # a state: the distances between the path so far and each prefix of the word, None beyond the bound
-    start = tuple(k if k <= most else None for k in range(len(word) + 1))
-    todo = [(trie, start)]
-    while todo:
-        at, state = todo.pop()
-        ends = at.get("", ())
-        if "word" in ends and state[-1] is not None:
-            found.append((state[-1], "word", ends["word"]))
-        if "stem" in ends and 0 in state and word.startswith(ends["stem"]):
-            found.append((0, "stem", ends["stem"]))
-        for c, below in at.items():
-            if c:
-                after = _step(state, word, c, most)
-                if after is not None:
+    has: dict[str, int] = {}
+    for k, c in enumerate(word):
+        has[c] = has.get(c, 0) | 1 << k
+    whole, full = 1 << len(word), (2 << len(word)) - 1
+    # with no edits first: few branches stay alive
+    for most in range(edits(len(word)) + 1):
+        # a state: for 0, 1, .. edits, the prefixes of the word that are within so many of the path, as bits by length
+        found, todo = [], [(trie, tuple((2 << e) - 1 & full for e in range(most + 1)))]
+        while todo:
+            at, state = todo.pop()
+            if ends := at.get(""):
+                if "word" in ends and state[-1] & whole:
+                    found.append(("word", ends["word"]))
+                if "stem" in ends and state[0] and not most:
+                    found.append(("stem", ends["stem"]))
+            for c, below in at.items():
+                if c and (after := _step(state, has.get(c, 0), full))[-1]:
                     todo.append((below, after))
-    if not found:
-        return None
-    k, kind, term = min(found)
-    return kind, term, k
-
-
-def _step(state: tuple, word: str, c: str, most: int) -> tuple | None:
-    out: list[int | None] = []
-    alive = False
-    for k, up in enumerate(state):
-        best = most + 1
-        if up is not None:
-            best = up + 1
-        if k:
-            if (diagonal := state[k - 1]) is not None:
-                best = min(best, diagonal + (word[k - 1] != c))
-            if (left := out[-1]) is not None:
-                best = min(best, left + 1)
-        alive |= best <= most
-        out.append(best if best <= most else None)
-    return tuple(out) if alive else None
+        if found:
+            return *min(found), most
+    return None
+
+
+def _step(state: tuple[int, ...], has: int, full: int) -> tuple[int, ...]:
+    """The state one character of the path further, `has` being that character's places in the word."""
+    less, after = state[0], (state[0] & has) << 1
+    out = [after]
+    for of in state[1:]:
+        # the character stands in the word, or it is added or changed, or one of the word's is left out
+        after = ((of & has) << 1 | less | less << 1 | after << 1) & full
+        out.append(after)
+        less = of
+    return tuple(out)
 
 
 class Finder:
@@ -131,17 +128,27 @@ class Finder:
             starts.add(parts[0])
             ends.add(parts[-1])
             inner.update(parts[1:-1])
-        alt = [f"^(?:{'|'.join(map(re.escape, sorted(starts)))})"] * bool(starts) + [f"(?:{'|'.join(map(re.escape, sorted(ends)))})$"] * bool(ends) + [re.escape(x) for x in sorted(inner)]
-        self.maybe = re.compile("|".join(alt)).search if alt else None
+        # the parts in one automaton, those that begin or end a word with a space there
+        self.maybe = ahocorasick.Automaton()
+        for part in {f" {x}" for x in starts} | {f"{x} " for x in ends} | inner:
+            self.maybe.add_word(part, None)
+        self.maybe.make_automaton()
 
     def look(self, words: set[str]) -> set[str]:
         """Those of the words that match the lexicon."""
-        if self.maybe is None:
+        if not len(self.maybe):
             return set()
         if len(self.met) > self.KEEP:
             self.met, self.hits = set(), {}
-        for word in words - self.met:
-            if self.maybe(word) and word not in self.innocent and (m := match(self.trie, word)):
+        new = words - self.met
+        line, last = f" {' '.join(new)} ", 0
+        for end, _ in self.maybe.iter(line):
+            if end <= last:  # in the word tried last
+                continue
+            inside = end if line[end] != " " else end - 1
+            begin, last = line.rindex(" ", 0, inside) + 1, line.index(" ", inside)
+            word = line[begin:last]
+            if word not in self.innocent and (m := match(self.trie, word)):
                 self.hits[word] = m
         self.met |= words
         return words & self.hits.keys()
@@ -273,7 +280,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, least:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(lexicon)
         for batch in batches:
-            found = [w for w in batch.column(0).to_pylist() if finder.look({w}) and finder.hits[w][2]]
+            found = [w for w in finder.look(set(batch.column(0).to_pylist())) if finder.hits[w][2]]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["term"])
 
     # words within the bound of a term that clean documents use as often as toxic ones: at most a few for each term
