@@ -26,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of links, of least doc_id and then of least text hash, and all rows without words. Rows of one id that differ in their texts are told apart."""
+    """One row of each component of links, of least doc_id and then of least text hash, and all rows without words. Rows of one id that differ in their texts are told apart;
+    of those that differ in other columns alone the one whose hash of all these is least stays."""
     rows = cut(shingle_join.classes(docs).where("n_shingles > 0").select("id", "h", "root"), "pipeline-classes")
     first = rows.groupBy("root").agg(F.min(F.struct("id", "h")).alias("first"))
     gone = rows.join(first, "root").where("NOT (id <=> first.id AND h = first.h)").select(F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
@@ -35,8 +36,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     same = F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))
     kept = marked.join(_sized(cut(gone, "pipeline-copies")), same, "left_anti")
     if again.limit(1).count():  # equal rows of one id and text: one of them stays
-        more = kept.join(_sized(again), same, "left_semi").dropDuplicates(["_i", "_t"])
-        kept = kept.join(_sized(again), same, "left_anti").unionByName(more)
+        more = kept.join(_sized(again), same, "left_semi").withColumn("_row", F.struct(*docs.columns))
+        more = more.groupBy("_i", "_t").agg(F.min_by("_row", F.xxhash64(F.to_json(F.col("_row").dropFields("text")) if len(docs.columns) > 1 else F.lit("")))).toDF("_i", "_t", "_row").select("_row.*")
+        kept = kept.join(_sized(again), same, "left_anti").select(docs.columns).unionByName(more)
     return kept.select(docs.columns)
 
 

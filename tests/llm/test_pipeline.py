@@ -53,3 +53,13 @@ def test_odd_rows(spark, tmp_path):
             assert sorted(r.n_tokens > 0 for r in out.collect()) == [False] * 3 + [True] * 4
         else:
             assert got == [] and out.count() == 0
+
+
+def test_rows_that_differ_in_other_columns_alone(spark):
+    text = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, text, f"u{k}", None if k % 2 else k) for k in range(12)] + [(2, "some other words that are here once", "v", 1)]
+    got = set()
+    for turn in (1, -1):
+        docs = spark.createDataFrame(rows[::turn], "doc_id long, text string, url string, source int").repartition(3 + turn)
+        got.add(tuple(sorted(tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())))
+    assert len(got) == 1 and [r[0] for r in next(iter(got))] == [1, 2]
