@@ -125,3 +125,13 @@ def test_rows_of_any_shape(spark):
     assert sorted(map(str, (r.conv_id for r in rt.repair_damaged(df).collect()))) == ["1", "2", "3", "None"]
     edits = rt.edits(rt.faults(df)).where("conv_id = 3").orderBy("seq").collect()
     assert [(e.edit, e.role, e.text, e.cost) for e in edits] == [("I", "user", "", 2), ("K", "assistant", "a.", 0), ("K", "user", "b!\n", 0), ("I", "assistant", "", 2)]
+
+
+def test_conversations_that_settle_with_their_last_row_end(spark):
+    sizes = {1: 32, 2: 3, 3: 64, 4: 96, 5: 33, 6: 31}
+    rows = [(conv, k, ["user", "assistant"][k % 2], f"{k}.") for conv, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {r.conv_id: r for r in rt.digest(rt.edits(rt.faults(df))).collect()}
+    assert {conv: (r.audit, r.gaps, r.illegal) for conv, r in got.items()} == {conv: ("K" * n + "I" * (n % 2), 0, 0) for conv, n in sizes.items()}
+    assert got[1].repaired_sha256 == hashlib.sha256("\n".join(f"{r[2]}:{r[3]}" for r in rows[:32]).encode()).hexdigest()
+    assert [e.ends for e in rt.edits(rt.faults(df)).where("conv_id = 3").orderBy("seq").collect()] == [False] * 63 + [True]

@@ -117,13 +117,13 @@ class Conversation:
         return self._settled() if len(self.rows) >= self.look else []
 
     def _settled(self) -> list:
-        """What all survivors share. The tree is looked at again when twice as many rows wait, so that looking takes linear time."""
+        """What all survivors share but the newest row, so that close() always has the last edit. The tree is looked at again when twice as many rows wait, so that looking takes linear time."""
         path, node = [], next(iter(self.survivors.values()))[2]
         while node.parent is not None:
             path.append(node)
             node = node.parent
         out = []
-        while node.refs == 1 and path:
+        while node.refs == 1 and len(path) > 1:
             node = path.pop()
             out += self._emit(node.letters)
         node.parent = None
