@@ -42,7 +42,7 @@ KEEP_WORDS = 500_000
 TEXT_CHARS = 4_000_000
 
 #: The library's split pattern; a line feed goes after each match.
-_PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 _ALIKE = re.compile("[\t\n\r -~\u00a0¡£-©«-±´¶-¸»¿-įĲ-ɏА-я–—‘-”…€]*").fullmatch
 
 
@@ -72,6 +72,11 @@ class Encoder:
         self.added = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         self.end = end_id
         self.words: dict[str, bytes] = {"": b""}
+        # tokens that end a word: each word has one of them, its last
+        vocabulary = self.of_words.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix := getattr(self.of_words.model, "end_of_word_suffix", None):
+            self.ending[[k for t, k in vocabulary.items() if t.endswith(suffix)]] = True
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids with the end id, as little-endian unsigned 32-bit integers."""
@@ -91,11 +96,14 @@ class Encoder:
         runs = pc.utf8_split_whitespace(low)
         kinds, run = _distinct(runs.flatten())
         mixed = pc.invert(pc.utf8_is_alpha(kinds))
-        pieces = pc.split_pattern(pc.replace_with_mask(kinds, mixed, pc.replace_substring_regex(kinds.filter(mixed), _PIECES, "\\1\n")), "\n")
+        pieces = pc.split_pattern(pc.replace_with_mask(kinds, mixed, pc.replace_substring_regex(kinds.filter(mixed), _PIECES, "\\0\n")), "\n")
         words, word = _distinct(pieces.flatten())
         words = words.to_pylist()
-        self._learn([w for w in words if w not in self.words])
-        coded = [self.words[w] for w in words]
+        coded = list(map(self.words.get, words))
+        if unknown := [k for k, c in enumerate(coded) if c is None]:
+            self._learn([words[k] for k in unknown])
+            for k in unknown:
+                coded[k] = self.words[words[k]]
         if len(self.words) > KEEP_WORDS:  # those of this batch stay
             self.words = dict(zip(words, coded, strict=True)) | {"": b""}
         flat, size = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
@@ -113,10 +121,9 @@ class Encoder:
         """Words of one kind of character, joined by spaces: each is a piece of its own to the library."""
         for a in range(0, len(new), 500):
             part = new[a : a + 500]
-            e = self.of_words.encode(" ".join(part), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
-            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)) if len(of) else of
-            if len(ends) != len(part):  # the library split a word further
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ending[ids]) + 1
+            if len(ends) != len(part):  # the library split a word further, or its tokens don't show where a word ends
                 self.words.update((w, np.array(self.library.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
                 continue
             raw, b = ids.tobytes(), 0
@@ -125,6 +132,17 @@ class Encoder:
                 b = c
 
 
+#: Places of the table that compress() looks pairs up in.
+PLACES = 1 << 18
+
+
+def _hashed(pairs: np.ndarray) -> np.ndarray:
+    """A place below PLACES for each pair of symbols."""
+    if pairs.dtype == np.uint64:
+        pairs = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+    return ((pairs * np.uint32(2654435761)) >> np.uint32(14)).astype(np.intp)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, per_round: int = 4096) -> bytes:
     """A block of the file format."""
     most = 65536 if first < 60_000 and (not len(ids) or int(ids.max()) < first) else first + 16_384
@@ -143,21 +161,25 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = 8, per_
             break
         if len(good) > room:
             good = good[np.argpartition(n[good], len(good) - room)[len(good) - room :]]
-        chosen = np.sort(sorted_keys[at[good]])
-        # a coarse table first, so that few positions are searched
-        hashed = lambda k: ((k * 2654435761) >> 12) & 0xFFFFF
-        table = np.zeros(1 << 20, bool)
-        table[hashed(chosen.astype(np.uint64))] = True
-        near = np.flatnonzero(table[hashed(keys.astype(np.uint64))])
-        rule = np.searchsorted(chosen, keys[near])
-        hit = chosen[np.minimum(rule, len(chosen) - 1)] == keys[near]
+        chosen = sorted_keys[at[good]]
+        # a table by hashes finds the positions; of pairs that share a place in it one waits for the next round
+        table, place = np.zeros(PLACES, np.uint16 if per_round < 65536 else np.uint32), _hashed(chosen)
+        table[place] = np.arange(1, len(chosen) + 1)
+        alone = table[place] == np.arange(1, len(chosen) + 1)
+        chosen = chosen[alone]
+        table[place[alone]] = np.arange(1, len(chosen) + 1)
+        rule = table.take(_hashed(keys))
+        near = np.flatnonzero(rule > 0)
+        rule = rule[near] - 1
+        hit = chosen[rule] == keys[near]
         pos, rule = near[hit], rule[hit]
         # occurrences that follow one another overlap: every other one of a run is taken
         starts = np.concatenate([[True], np.diff(pos) > 1])
-        run = np.maximum.accumulate(np.where(starts, np.arange(len(pos)), 0))
-        take = (np.arange(len(pos)) - run) % 2 == 0
+        number = np.arange(len(pos))
+        take = (number - np.maximum.accumulate(np.where(starts, number, 0))) & 1 == 0
         pos, rule = pos[take], rule[take]
-        used, rule = np.unique(rule, return_inverse=True)
+        used = np.bincount(rule, minlength=len(chosen)) > 0
+        rule = (np.cumsum(used) - 1)[rule]
         pair = chosen[used]
         left, right = (pair >> shift).astype(np.int64), (pair & ((1 << shift) - 1)).astype(np.int64)
         s[pos] = rule + first + len(rules)
@@ -189,7 +211,22 @@ class Block:
         self.ends = np.frombuffer(raw, "<u4", n_docs, at + wide * n_symbols)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """The ids of symbols; a round replaces every nonterminal by its two symbols."""
+        """The ids of symbols; those of many are put together from the ids of each rule."""
+        if len(symbols) < 4 * len(self.rules):
+            return self._rounds(symbols)
+        of_rules = self._rounds(np.arange(self.first, self.first + len(self.rules)))
+        begins, sizes = np.cumsum(self.lengths, dtype=np.int64) - self.lengths, np.ones(len(symbols), np.int64)
+        over = np.flatnonzero(symbols >= self.first)
+        rule = symbols[over].astype(np.int64) - self.first
+        sizes[over] = self.lengths[rule]
+        where = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.uint32)
+        out[where] = symbols
+        out[_ranges(where[over], sizes[over])] = of_rules[_ranges(begins[rule], sizes[over])]
+        return out
+
+    def _rounds(self, symbols: np.ndarray) -> np.ndarray:
+        """A round replaces every nonterminal by its two symbols."""
         s = symbols.astype(np.uint32)
         rules = self.rules.astype(np.uint32)
         while len(at := np.flatnonzero(s >= self.first)):
